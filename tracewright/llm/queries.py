@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .binary_output import op10_token_output
 from .packing import op9_packing
+from .pii import op7_pii
+from .quality import op1_quality
+from .toxicity import op5_toxicity
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op9_packing, op10_token_output)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op5_toxicity, op7_pii, op9_packing, op10_token_output)}
 ORACLE_SQL: dict[str, str] = {}
