@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .binary_output import op10_token_output
 from .decontaminate import op4_decontamination
+from .ngram_join import op3_ngram_join
 from .packing import op9_packing
 from .pii import op7_pii
 from .quality import op1_quality
 from .toxicity import op5_toxicity
 from .url_filter import op6_url_filter
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op4_decontamination, op5_toxicity, op6_url_filter, op7_pii, op9_packing, op10_token_output)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op3_ngram_join, op4_decontamination, op5_toxicity, op6_url_filter, op7_pii, op9_packing, op10_token_output)}
 ORACLE_SQL: dict[str, str] = {}
