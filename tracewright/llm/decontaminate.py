@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .common import table
 
@@ -231,16 +232,16 @@ def _matchers(docs: DataFrame, benchmark: DataFrame, n: int = 3, stretch: int =
         yield _matcher(seeds, item_words, item_ids, min_cover, min_identity, slack)
 
 
-def _packed(docs: DataFrame) -> tuple[DataFrame, str]:
+def _packed(docs: DataFrame) -> DataFrame:
     rest = [docs[c] for c in docs.columns if c != "text"]
-    packed = docs.select(F.struct(*rest, F.lit(0).alias("_")).alias("row"), "text")
-    return packed, f"row {packed.schema['row'].dataType.simpleString()}"
+    return docs.select(F.struct(*rest, F.lit(0).alias("_")).alias("row"), "text")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     """One row for each document and test item it leaks: doc_id, item_id and the alignment."""
-    packed, row = _packed(docs.select("doc_id", "text"))
-    parts = [packed.mapInArrow(_report(m), f"{row}, item_id long, cover double, start_word long, end_word long, alignment long") for m in _matchers(docs, benchmark, **parameters)]
+    packed = _packed(docs.select("doc_id", "text"))
+    found = StructType([packed.schema["row"], *(StructField(c, DoubleType() if c == "cover" else LongType()) for c in ("item_id", "cover", "start_word", "end_word", "alignment"))])
+    parts = [packed.mapInArrow(_report(m), found) for m in _matchers(docs, benchmark, **parameters)]
     if not parts:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, cover double, start_word long, end_word long, alignment long")
     return functools.reduce(DataFrame.unionByName, parts).select(F.col("row.doc_id").alias("doc_id"), "item_id", "cover", "start_word", "end_word", "alignment")
@@ -248,9 +249,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs`` that leak no test item, with their columns; nothing is joined back."""
-    out, row = _packed(docs)
+    out = _packed(docs)
     for matches in _matchers(docs, benchmark, **parameters):
-        out = out.mapInArrow(_drop(matches), f"{row}, text string")
+        out = out.mapInArrow(_drop(matches), out.schema)
     return out.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 

@@ -29,9 +29,9 @@ Memory: a bucket of about four million shingles, a batch, or a salted star. The
 a bucket can't split is a single shingle's list, eight bytes for each class it is in.
 
 Defined cases: null and empty texts have the empty set and link with nothing; fewer than
-five words are one shingle; repeated ids and rows are one document each; a null id is
-never a representative and keeps a null component unless its set links to another's; an
-empty table gives no rows; other columns are ignored.
+five words are one shingle; rows with one id count as linked with each other; a null id is
+never a representative and has a null component unless its set links to that of a row with
+an id; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, release, shuffle_partitions, table
@@ -335,7 +335,8 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100) -> DataFr
     alive = classes.where(F.col("ranks").isNotNull())
     digest = ["n", "d1", "d2"]
     nodes, nodes_path = materialize(alive.groupBy(*digest).agg(F.min("rep").alias("node"), F.first("ranks").alias("ranks")), "nodes")
-    sets = nodes.select("node", "n", "ranks")
+    # rows with one id and different texts are one node; the least digest's set stands for them
+    sets = nodes.groupBy("node").agg(F.min(F.struct("n", "d1", "d2", "ranks")).alias("s")).select("node", "s.n", "s.ranks")
     prefixes, prefix_path = materialize(sets.mapInArrow(_prefixes(num, den), "token long, node long, n long, rest long"), "prefixes")
     shared = prefixes.groupBy("token").agg(F.min("node").alias("centre"), F.min_by("n", "node").alias("n_centre"), F.count("*").alias("size")).where("size > 1")
     close = F.least("n", "n_centre") * den >= F.greatest("n", "n_centre") * num
@@ -372,5 +373,16 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100) -> DataFr
     return out.withColumn("least", alone).select(real("doc_id").alias("doc_id"), "n_shingles", real("least").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
+    """``docs`` with one row of each component, that of the least id, with all columns.
+
+    Rows without an id can't be told apart by it and stay.
+    """
+    least = jaccard_components(docs, num, den).where("doc_id = component_id").select(F.col("doc_id").alias("_least")).distinct()
+    kept = docs.join(least, docs["doc_id"] == least["_least"], "left_semi")
+    once = kept.withColumn("_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_rank = 1").drop("_rank")
+    return once.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))

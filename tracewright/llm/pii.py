@@ -11,7 +11,7 @@ Rows are independent: one ``mapInArrow`` pass without a shuffle.
 
 Defined cases: null text stays null with no findings; empty text stays empty; text
 without valid candidates is returned unchanged to the byte; ids may be null or repeated;
-other columns pass through.
+other columns pass through, but those named like a count are replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from .common import table
 
@@ -238,7 +239,7 @@ def pseudonymize(docs: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
     docs = docs.drop(*counts)
     rest = docs.drop("text")
     packed = docs.select(F.struct(*[docs[c] for c in rest.columns]).alias("row") if rest.columns else F.struct(F.lit(0).alias("_")).alias("row"), "text")
-    out = packed.mapInArrow(_run(key), f"row {packed.schema['row'].dataType.simpleString()}, text string, " + ", ".join(f"{c} int" for c in counts))
+    out = packed.mapInArrow(_run(key), StructType([packed.schema["row"], StructField("text", StringType()), *(StructField(c, IntegerType()) for c in counts)]))
     return out.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns], *counts)
 
 

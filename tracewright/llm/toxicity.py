@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import table
 
@@ -289,7 +290,7 @@ def toxicity_scores(docs: DataFrame, model: Model | None) -> DataFrame:
     schema = docs.schema
     fields = schema.fieldNames()
     packed = docs.select(F.struct(*[docs[c] for c in fields]).alias("row"), docs["text"])
-    out = packed.mapInArrow(_score(model), f"row {schema.simpleString()}, score double")
+    out = packed.mapInArrow(_score(model), StructType([StructField("row", schema), StructField("score", DoubleType())]))
     return out.select(*[F.col("row").getField(c).alias(c) for c in fields], "score")
 
 
