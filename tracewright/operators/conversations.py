@@ -12,10 +12,14 @@ from .samples import exclusion_reason
 PARSER_REJECTION = "[tool_result] parser"
 GATE_REJECTION = "Completion gate rejected finish"
 FINISH = '{"tool_name":"finish","arguments":{}}'
-ORDER = Window.partitionBy("trajectory_id").orderBy("pos")
-LATER = ORDER.rowsBetween(1, Window.unboundedFollowing)
-AFTER_NEXT = ORDER.rowsBetween(2, Window.unboundedFollowing)
-ALL = Window.partitionBy("trajectory_id")
+
+
+def _order():
+    return Window.partitionBy("trajectory_id").orderBy("pos")
+
+
+def _after_next():
+    return _order().rowsBetween(2, Window.unboundedFollowing)
 
 
 def explode_messages(df: DataFrame, *keep: str) -> DataFrame:
@@ -48,7 +52,7 @@ def with_calls(rows: DataFrame) -> DataFrame:
 
 def truncate_after_finish(rows: DataFrame) -> DataFrame:
     """Nothing after the last finish stays; conversations without one stay whole."""
-    last = F.max(F.when(F.col("tool") == "finish", F.col("pos"))).over(ALL)
+    last = F.max(F.when(F.col("tool") == "finish", F.col("pos"))).over(Window.partitionBy("trajectory_id"))
     return rows.withColumn("_last", last).where("_last is null or pos <= _last").drop("_last")
 
 
@@ -61,16 +65,16 @@ def append_finish(rows: DataFrame, resolved: str = "resolved") -> DataFrame:
 
 def neighbours(rows: DataFrame) -> DataFrame:
     """Each message with its successor's role and text."""
-    return rows.withColumns({"next_role": F.lead("role").over(ORDER), "next_content": F.lead("content").over(ORDER)})
+    return rows.withColumns({"next_role": F.lead("role").over(_order()), "next_content": F.lead("content").over(_order())})
 
 
 def any_later_assistant(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("later_assistant", F.coalesce(F.max(F.col("role") == "assistant").over(AFTER_NEXT), F.lit(False)))
+    return rows.withColumn("later_assistant", F.coalesce(F.max(F.col("role") == "assistant").over(_after_next()), F.lit(False)))
 
 
 def next_valid_call(rows: DataFrame) -> DataFrame:
     """Position and tool of the first valid call from two messages on."""
-    at = F.min(F.when(F.col("tool").isNotNull(), F.struct("pos", "tool"))).over(AFTER_NEXT)
+    at = F.min(F.when(F.col("tool").isNotNull(), F.struct("pos", "tool"))).over(_after_next())
     return rows.withColumn("recovery_pos", at["pos"]).withColumn("recovery_tool", at["tool"])
 
 
@@ -96,7 +100,7 @@ def repair_marks(rows: DataFrame) -> DataFrame:
     )
     r = r.withColumn("action", action).withColumn("category", F.when(asst & F.col("tool").isNull(), call_error("content")))
     paired = F.col("action").isin("invalid_pair", "premature_finish", "protocol_pair")
-    return r.withColumn("drop", F.coalesce(paired, F.lit(False)) | F.coalesce(F.lag(paired).over(ORDER), F.lit(False)))
+    return r.withColumn("drop", F.coalesce(paired, F.lit(False)) | F.coalesce(F.lag(paired).over(_order()), F.lit(False)))
 
 
 def chain_findings(rows: DataFrame) -> DataFrame:
@@ -131,7 +135,7 @@ def salvage(conversations: DataFrame) -> DataFrame:
     )
     rest = marks.where(~F.col("drop")).select("trajectory_id", "pos", "role", "content", "tool", F.lit(True).alias("resolved"))
     whole = append_finish(truncate_after_finish(sanitize(rest)))
-    renumbered = whole.withColumn("pos", F.row_number().over(ORDER) - 1)
+    renumbered = whole.withColumn("pos", F.row_number().over(_order()) - 1)
     chains = chain_findings(renumbered.select("trajectory_id", "pos", "role", "content"))
     appended = whole.groupBy("trajectory_id").agg(F.bool_or(F.col("redactions").isNull()).alias("finish_appended"), F.sum(F.coalesce("redactions", F.lit(0))).alias("secret_redactions"))
     messages = collect_messages(renumbered)
@@ -232,7 +236,7 @@ def check_package(rows: DataFrame) -> DataFrame:
 
 def units(rows: DataFrame) -> DataFrame:
     """``unit`` 0 is what comes before the first assistant; each assistant begins another."""
-    return rows.withColumn("unit", F.sum((F.col("role") == "assistant").cast("bigint")).over(ORDER.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return rows.withColumn("unit", F.sum((F.col("role") == "assistant").cast("bigint")).over(_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
 def next_actions(trajectories: DataFrame) -> DataFrame:

@@ -123,7 +123,7 @@ def preflight(candidates: DataFrame, limit: int | None = None) -> DataFrame:
     if limit is None:
         return best
     before = F.sum(F.col("runnable").cast("int")).over(Window.orderBy("task_order").rowsBetween(Window.unboundedPreceding, -1))
-    return best.where(F.coalesce(before, F.lit(0)) < limit)
+    return best.withColumn("_b", F.coalesce(before, F.lit(0))).where(F.col("_b") < limit).drop("_b")
 
 
 def split_policy(split: Column | str) -> Column:

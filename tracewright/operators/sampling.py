@@ -33,8 +33,8 @@ def round_robin(df: DataFrame, group: str, kind: str, seed: str, key: str, n: in
     turn = Window.partitionBy(group).orderBy("kind_rank", stable_score(seed, kind), kind)
     out = inside.withColumn("pick", F.row_number().over(turn)).where(F.col("pick") <= n)
     if strict:
-        have = F.count("*").over(Window.partitionBy(group))
-        out = out.where(F.when(have == n, True).otherwise(F.raise_error(F.concat(F.lit("too few rows in "), group)).cast("boolean")))
+        out = out.withColumn("_have", F.count("*").over(Window.partitionBy(group)))
+        out = out.where(F.when(F.col("_have") == n, True).otherwise(F.raise_error(F.concat(F.lit("too few rows in "), group)).cast("boolean"))).drop("_have")
     return out
 
 
