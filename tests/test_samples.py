@@ -108,3 +108,10 @@ def test_preflight_stops_early(spark):
 def test_blocked_status(spark):
     a = spark.createDataFrame([("a", "error", "Manifest UNKNOWN"), ("b", "timeout", "x"), ("c", "error", "denied")], "instance_id string, status string, output string")
     assert {r.instance_id: r.blocked_status for r in samples.blocked_status(a).collect()} == {"a": "blocked_image_not_found", "b": "blocked_image_pull_timeout", "c": "blocked_image_access_denied"}
+
+
+def test_selections(spark):
+    df = spark.createDataFrame([("a", "train", "x", 1, "ok", True), ("b", "train", "y", 0, "ok", True), ("c", "test", "x", 2, "bad", True)], "instance_id string, split string, dataset string, ordinal int, status string, parse_ok boolean")
+    assert [r.instance_id for r in samples.select_rows(df, ["train"], ["both"], groups={"both": ["x"]}).collect()] == ["a"]
+    assert [r.instance_id for r in samples.planner_selection(df, df, 1).collect()] == ["b"]
+    assert samples.fingerprint({"a": 1, "workers": 2}, ("workers",)) == samples.fingerprint({"a": 1, "workers": 9}, ("workers",)) != samples.fingerprint({"a": 2})

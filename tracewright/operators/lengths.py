@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered
 from ..functions.text import REPORT_BOUNDS, length_bucket
 from .sampling import stable_score
 
@@ -42,8 +43,10 @@ def floor_rank_summary(rows: DataFrame, column: str, by: list[str]) -> DataFrame
 
 
 def running_offset(rows: DataFrame, order: str, size: str = "num_tokens", by: list[str] | None = None) -> DataFrame:
-    """Sum of the sizes before each row. Pass ``by`` (a shard) to keep it parallel on large tables."""
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    """Sum of the sizes before each row, of its group or of the whole table."""
+    if not by:
+        return ordered.running_sum(rows, order, size, "offset")
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("offset", F.coalesce(F.sum(size).over(w), F.lit(0)).cast("bigint"))
 
 
@@ -64,9 +67,10 @@ def edge_padded_mean(rows: DataFrame, value: str, order: list[str], by: list[str
 
 def average_rank(rows: DataFrame, score: str, by: list[str] | None = None) -> DataFrame:
     """Rank from 1 with ties at their mean."""
-    keys = by or [F.lit(0)]
-    tied = F.count("*").over(Window.partitionBy(*keys, score))
-    return rows.withColumn("average_rank", F.rank().over(Window.partitionBy(*keys).orderBy(score)) + (tied - 1) / F.lit(2.0))
+    if not by:
+        return ordered.mean_rank(rows, score, "average_rank")
+    tied = F.count("*").over(Window.partitionBy(*by, score))
+    return rows.withColumn("average_rank", F.rank().over(Window.partitionBy(*by).orderBy(score)) + (tied - 1) / F.lit(2.0))
 
 
 def contiguous_ranges(rows: DataFrame, by: list[str], pos: str = "pos") -> DataFrame:
@@ -79,17 +83,18 @@ def peaks_so_far(rows: DataFrame, value: str, order: str, by: list[str]) -> Data
     return rows.withColumn("peak", F.max(value).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
-def bucket_batches(rows: DataFrame, sizes: dict[str, int], seed: str, key: str, epoch: int = 0) -> DataFrame:
+def bucket_batches(rows: DataFrame, sizes: dict[str, int], seed: str, key: str, epoch: int = 0, shards: int = 1) -> DataFrame:
     """Batches of one length bucket each: hash order, then by length, cut to the bucket's size;
-    batches in hash order."""
+    batches in hash order. Buckets are few: on large tables each is dealt into hash ``shards``."""
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(shards)))
     size = F.coalesce(*[F.when(F.col("bucket") == b, n) for b, n in sizes.items()], F.lit(1))
-    w = Window.partitionBy("bucket").orderBy("num_tokens", stable_score(f"{seed}:{epoch}", key), key)
+    w = Window.partitionBy("bucket", "shard").orderBy("num_tokens", stable_score(f"{seed}:{epoch}", key), key)
     out = rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("bigint"))
-    return out.withColumn("batch_order", stable_score(f"{seed}:{epoch}", "bucket", F.col("batch").cast("string")))
+    return out.withColumn("batch_order", stable_score(f"{seed}:{epoch}", "bucket", F.col("shard").cast("string"), F.col("batch").cast("string")))
 
 
 def padding_stats(batches: DataFrame) -> DataFrame:
-    g = batches.groupBy("bucket", "batch").agg(F.count("*").alias("rows"), F.sum("num_tokens").cast("bigint").alias("real_tokens"), (F.max("num_tokens") * F.count("*")).cast("bigint").alias("padded_tokens"))
+    g = batches.groupBy(*[c for c in ("bucket", "shard", "batch") if c in batches.columns]).agg(F.count("*").alias("rows"), F.sum("num_tokens").cast("bigint").alias("real_tokens"), (F.max("num_tokens") * F.count("*")).cast("bigint").alias("padded_tokens"))
     return g.withColumn("padding", F.col("padded_tokens") - F.col("real_tokens"))
 
 

@@ -289,3 +289,27 @@ def trace_verdict(exit_code: Column, fail_to_pass: Column, pass_to_pass: Column)
 
 def outcome_label(rows: DataFrame) -> DataFrame:
     return rows.withColumn("outcome", canonical_outcome(F.col("benchmark_resolved"), F.col("sample_valid"), F.col("agent_status"), or_default("verifier_status", "unknown"), F.col("patch_present")))
+
+
+def select_rows(rows: DataFrame, splits: list[str] | None = None, datasets: list[str] | None = None, ids: DataFrame | None = None, groups: dict[str, list[str]] | None = None) -> DataFrame:
+    """All given filters at once; a dataset name may stand for a group of them. Ids come as a frame."""
+    if splits:
+        rows = rows.where(F.col("split").isin(splits))
+    if datasets:
+        rows = rows.where(F.col("dataset").isin([d for name in datasets for d in (groups or {}).get(name, [name])]))
+    return rows.join(ids.select("instance_id").distinct(), "instance_id", "left_semi") if ids is not None else rows
+
+
+def planner_selection(plans: DataFrame, tasks: DataFrame, n: int, order: str = "ordinal") -> DataFrame:
+    """The first ``n`` sound plans of known tasks."""
+    sound = plans.where((F.col("status") == "ok") & F.col("parse_ok"))
+    return sound.join(tasks.select("instance_id").distinct(), "instance_id", "left_semi").orderBy(order).limit(n)
+
+
+def fingerprint(config: dict, ignored: tuple[str, ...] = ()) -> str:
+    """Hash of a run's settings; ``ignored`` ones (workers, say) may change on a resume."""
+    import hashlib
+    import json
+
+    kept = {k: v for k, v in config.items() if k not in ignored}
+    return hashlib.sha256(json.dumps(kept, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()

@@ -7,6 +7,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered
 from ..functions.text import patch_changed_lines, patch_file_count
 
 
@@ -16,10 +17,11 @@ def stable_score(seed: str, *parts: Column | str) -> Column:
 
 
 def hash_rank(df: DataFrame, seed: str, key: str, by: list[str] | None = None) -> DataFrame:
-    """Rank by hash within groups. Without groups, ranks come from a range sort and per-partition
-    offsets rather than one task: use ``hash_first`` for just the first rows."""
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(stable_score(seed, key), key)
-    return df.withColumn("hash_rank", F.row_number().over(w))
+    """Rank by hash within groups, or over all rows; ``hash_first`` is cheaper for the first rows only."""
+    score = stable_score(seed, key)
+    if not by:
+        return ordered.rank(df, ordered.by_hash(score), [score, key], "hash_rank")
+    return df.withColumn("hash_rank", F.row_number().over(Window.partitionBy(*by).orderBy(score, key)))
 
 
 def hash_first(df: DataFrame, seed: str, key: str, n: int) -> DataFrame:
@@ -62,7 +64,8 @@ def three_way_split(pool: DataFrame, evaluation: DataFrame, quotas: dict[str, tu
     rest = pool.join(evaluation.select(key), key, "left_anti")
     parts = []
     for dataset, (n_val, n_train) in quotas.items():
-        ranked = hash_rank(rest.where(F.col("dataset") == dataset), seed, key, ["dataset"])
+        few = hash_first(rest.where(F.col("dataset") == dataset), seed, key, n_val + n_train)  # a top-n, then ranks of those
+        ranked = hash_rank(few, seed, key, ["dataset"])
         part = F.when(F.col("hash_rank") <= n_val, "validation").when(F.col("hash_rank") <= n_val + n_train, "train")
         parts.append(ranked.withColumn("split", part).where("split is not null"))
     out = parts[0]

@@ -298,6 +298,17 @@ def running_offset(spark, d):
     return L.running_offset(W.lengths(spark, d), "doc_id", by=["source"]).select("source", "doc_id", "num_tokens", "offset")
 
 
+@query("SELECT doc_id, CAST(coalesce(sum(num_tokens) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM v_lengths", "v_lengths")
+def global_offset(spark, d):
+    return L.running_offset(W.lengths(spark, d), "doc_id").select("doc_id", "offset")
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY sha256('g:' || CAST(doc_id AS VARCHAR))) AS hash_rank, rank() OVER (ORDER BY num_tokens) + (count(*) OVER (PARTITION BY num_tokens) - 1) / 2.0::DOUBLE AS average_rank FROM v_lengths", "v_lengths")
+def global_ranks(spark, d):
+    ranked = N.hash_rank(W.lengths(spark, d).withColumn("key", F.col("doc_id").cast("string")), "g", "key")
+    return L.average_rank(ranked, "num_tokens").select("doc_id", F.col("hash_rank").cast("bigint").alias("hash_rank"), F.col("average_rank").cast("double").alias("average_rank"))
+
+
 @query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS moving_average FROM events")
 def moving_average(spark, d):
     return L.moving_average(W.table(spark, d, "events"), "value", ["ts", "event_id"], 5, ["user_id"]).select("event_id", F.round("moving_average", 6).alias("moving_average"))
@@ -333,7 +344,7 @@ def bucket_batches(spark, d):
 
 @query(_BATCHES + " SELECT bucket, batch, count(*) AS rows, CAST(sum(num_tokens) AS BIGINT) AS real_tokens, CAST(max(num_tokens) * count(*) AS BIGINT) AS padded_tokens, CAST(max(num_tokens) * count(*) - sum(num_tokens) AS BIGINT) AS padding FROM p GROUP BY 1, 2", "v_lengths")
 def padding_stats(spark, d):
-    return L.padding_stats(_batches(spark, d))
+    return L.padding_stats(_batches(spark, d)).drop("shard")
 
 
 def _scored(spark, d):
