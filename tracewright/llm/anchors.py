@@ -13,6 +13,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .common import process_memo
+
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SPAN = 1 << 20  # positions a packed key can tell apart
 _POSITION = np.uint64(_SPAN - 1)
@@ -32,16 +34,14 @@ class WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 500_000:
+        if len(self) < 300_000:
             self[word] = h
         return h
 
 
-_words = WordHashes()
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    memo = process_memo("word hashes", WordHashes)
+    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 
 def byte_hashes(raw: bytes) -> np.ndarray:

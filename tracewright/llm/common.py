@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local_shared: list[str] = []
@@ -49,13 +50,31 @@ def release(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+_memo: list = [None, None]
+
+
+def process_memo(key, make):
+    """One memo for each worker process, kept between tasks until another operator's is asked for."""
+    if _memo[0] != key:
+        _memo[:] = [None, None]
+        pa.default_memory_pool().release_unused()
+        _memo[:] = [key, make()]
+    return _memo[1]
+
 
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Arrow batches by bytes: a batch of long texts must not take a worker's memory.
 
-def row_key() -> list[Column]:
-    """(id, text hash): tells rows apart when ids are null or repeated."""
-    return [F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("kid"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("kh")]
+    The default of 64 MB, doubled by the buffers of both sides, is too much for small
+    executors. A smaller setting of the session stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "64m").lower().rstrip("b") in ("64m", "67108864"):
+        spark.conf.set(key, size)
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

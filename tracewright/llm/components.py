@@ -30,5 +30,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         path, labels = new_path, done.select("node", "component")
         if done.where("component < old").isEmpty():
             break
+    else:
+        raise RuntimeError(f"labels still change after {max_rounds} rounds")
     release(spark, edge_path)
     return labels

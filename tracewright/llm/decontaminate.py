@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import table
+from .common import bounded_batches, table
 
 MAX_ITEM_BYTES = 16 << 20
 _WORD = re.compile(r"[^\W_]+")
@@ -217,6 +217,7 @@ def _blocks(items: DataFrame) -> list[list]:
 
 def _matchers(docs: DataFrame, benchmark: DataFrame, n: int = 3, stretch: int = 5, per_stretch: int = 2, min_cover: float = 0.6, min_identity: float = 0.6, slack: int = 8) -> Iterator:
     """A matcher for each block of items, its seeds chosen by counts over all of ``docs``."""
+    bounded_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
     for block in _blocks(items):
         rows = sorted(block.collect(), key=lambda r: (r.item_id is None, r.item_id or 0, r.text))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from .common import table
+from .common import bounded_batches, table
 
 ROUNDS = 10
 #: A deployment passes its own secret; this one makes runs of the queries comparable.
@@ -235,6 +235,7 @@ def _run(key: bytes):
 
 def pseudonymize(docs: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
     """``docs`` with its ``text`` pseudonymised and a count ``n_<kind>`` of each kind of finding."""
+    bounded_batches(docs.sparkSession)
     counts = [f"n_{kind}" for kind in KINDS]
     docs = docs.drop(*counts)
     rest = docs.drop("text")

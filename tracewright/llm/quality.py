@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import bounded_batches, materialize, table
 
 # Frequent function words of the reference languages.
 COMMON_WORDS = {
@@ -179,6 +179,7 @@ def quality_verdicts(
     docs: DataFrame, languages: tuple[str, ...] = tuple(COMMON_WORDS), max_classes: float = 0.25, max_common: float = 0.45, min_chars: int = 200, min_words: int = 50
 ) -> DataFrame:
     """Base counts, distances and the verdict ``kept`` of every row of ``docs(doc_id, lang, text)``."""
+    bounded_batches(docs.sparkSession)
     measured, _ = materialize(base_measures(docs), "quality")
     refs = references(measured, list(languages))
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double"
