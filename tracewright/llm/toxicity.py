@@ -14,7 +14,7 @@ Training. The bags are the labelled documents' sentences: a sentence counts by i
 toxic word, a document by its most toxic sentence, and only some word of some sentence of
 a toxic document needs to be toxic (MI-SVM: witness words are chosen, the SVM fitted, and
 the witnesses chosen again). Part of the labelled rows is held back to fit the logistic
-curve that turns a margin into a probability.
+curve that turns the margins of a document's words into a probability.
 
 Scoring is one pass of ``mapInArrow`` with a model of fixed size; nothing is shuffled.
 
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import table
+from .common import bounded_batches, process_memo, table
 
 DECAY = 0.6
 WORD_LENGTH = 20  # longer words are read in overlapping parts
@@ -47,7 +47,7 @@ TABLE_BITS = 20
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _SENTENCE = re.compile(r"[.!?\n]+")
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 300_000
 
 
 def words_of(text: str) -> set[str]:
@@ -109,8 +109,7 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Model:
     weights: np.ndarray  # by slot: the landmarks' subsequences, times their coefficients
     bias: float
-    slope: float
-    offset: float
+    curve: np.ndarray  # of a document's evidence; the last entry is its offset
     floor: float  # the margin of a text without words
 
     def margins(self, words: list[str]) -> np.ndarray:
@@ -118,15 +117,23 @@ class Model:
             return np.zeros(0, np.float32)
         parts = [_parts(w) for w in words]
         flat = [p for ps in parts for p in ps]
-        out = np.concatenate([self._margins(flat[k : k + 8192]) for k in range(0, len(flat), 8192)])
+        out = np.concatenate([self._margins(flat[k : k + 4096]) for k in range(0, len(flat), 4096)])
         return out if len(flat) == len(words) else np.maximum.reduceat(out, np.cumsum([0, *(len(p) for p in parts[:-1])]))
 
     def _margins(self, words: list[str]) -> np.ndarray:
         slot, weight, norm = subsequences(words)
         return (self.weights[slot] * weight).sum(axis=1) / norm + self.bias
 
-    def probability(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
+    def evidence(self, margins: list[float]) -> list[float]:
+        """Of a document's distinct words: the two largest margins, the sum and number of the
+        positive ones, and how many words there are."""
+        top = sorted(margins, reverse=True)[:2] if margins else []
+        positive = [m for m in margins if m > 0]
+        return [top[0] if top else self.floor, top[1] if len(top) > 1 else self.floor, np.log1p(sum(positive)), np.log1p(len(positive)), np.log1p(len(margins))]
+
+    def probability(self, evidence: list[list[float]]) -> np.ndarray:
+        x = np.array(evidence, dtype=np.float64).reshape(-1, 5)
+        return 1 / (1 + np.exp(-np.clip(x @ self.curve[:-1] + self.curve[-1], -30, 30)))
 
 
 def _unit(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -162,22 +169,22 @@ def _linear_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, lam: float = 1e-
     return w[:-1], float(w[-1])
 
 
-def _logistic(margin: np.ndarray, y: np.ndarray, prior: float = 2.0) -> tuple[float, float]:
-    """Platt's curve with his smoothed targets, by Newton steps; few rows leave the slope near 4."""
+def _logistic(x: np.ndarray, y: np.ndarray, prior: float = 0.3) -> np.ndarray:
+    """Weights and offset of a ridge-penalised logistic regression on Platt's smoothed targets."""
     pos, neg = (y > 0).sum(), (y <= 0).sum()
     t = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    a, b = 4.0, 0.0
-    x = np.stack([margin, np.ones_like(margin)], axis=1).astype(np.float64)
+    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
+    w, ridge = np.zeros(z.shape[1]), np.array([prior] * x.shape[1] + [1e-6])
     for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(x @ [a, b], -30, 30)))
-        grad = x.T @ (p - t) + prior * np.array([a - 4.0, 0])
-        hess = (x * (p * (1 - p))[:, None]).T @ x + np.diag([prior, 1e-6])
-        step = np.linalg.solve(hess, grad)
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge), z.T @ (p - t) + ridge * w)
         step *= min(1, 4 / (np.abs(step).max() + 1e-12))
-        a, b = a - step[0], b - step[1]
+        w = w - step
         if np.abs(step).max() < 1e-6:
             break
-    return float(max(a, 0.1)), float(b)
+    weights = w[:-1] / scale
+    return np.append(weights, w[-1] - (weights * mean).sum())
 
 
 def fit(texts: list[str], toxic: list[int], landmarks: int = 96, rounds: int = 3) -> Model | None:
@@ -205,7 +212,7 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = 96, rounds: int = 3
     root = vector * (np.maximum(value, 1e-3) ** -0.5) @ vector.T
     vocabulary = sorted(set(in_neg) | set(in_pos))
     weight, bias, table_ = None, 0.0, np.zeros(1 << TABLE_BITS, np.float32)
-    model = Model(table_, 0.0, 4.0, 0.0, -1.0)
+    model = Model(table_, 0.0, np.zeros(6), -1.0)
     margin = {w: float(odds.get(w, -3.0)) * (1 if w in worth else 0.2) for w in vocabulary}
     clean: set[str] = set(common)
     spread = [w for w in sorted(in_neg) if zlib.crc32(w.encode()) % max(1, len(in_neg) // 4000) == 0]
@@ -229,15 +236,15 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = 96, rounds: int = 3
         table_ = np.zeros(1 << TABLE_BITS, np.float32)
         for s, w, c in zip(*marks, folded):
             np.add.at(table_, s, (w * c).astype(np.float32))
-        model = Model(table_, bias, 4.0, 0.0, bias)
+        model = Model(table_, bias, np.zeros(6), bias)
         margin = dict(zip(vocabulary, model.margins(vocabulary).tolist()))
     at = [i for i in range(len(texts)) if held[i]]
     if sum(bool(toxic[i]) for i in at) < 50 or all(toxic[i] for i in at):
         at = list(range(len(texts)))  # too few held back for a curve
     words = sorted(set().union(*(docs[i] for i in at)))
     margin = dict(zip(words, model.margins(words).tolist()))
-    top = np.array([max((margin[w] for w in docs[i]), default=model.floor) for i in at])
-    model.slope, model.offset = _logistic(top, np.array([1 if toxic[i] else -1 for i in at]))
+    seen_by = np.array([model.evidence([margin[w] for w in docs[i]]) for i in at])
+    model.curve = _logistic(seen_by, np.array([1 if toxic[i] else -1 for i in at]))
     return model
 
 
@@ -262,10 +269,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, usable, max_rows: int =
 
 def _score(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        process_memo("toxicity", dict)  # makes room
         memo: dict[str, float] = {}
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
                 if model is None:
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array([0.0] * part.num_rows)], names=["row", "score"])
                     continue
@@ -278,14 +286,15 @@ def _score(model: Model | None):
                 else:
                     memo.update(found)
                     look = memo
-                top = np.array([max(map(look.__getitem__, d), default=model.floor) for d in docs])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.probability(top).astype(float))], names=["row", "score"])
+                scores = model.probability([model.evidence([look[w] for w in d]) for d in docs])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores)], names=["row", "score"])
 
     return run
 
 
 def toxicity_scores(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` with a ``score`` column; columns of ``docs`` named so are replaced."""
+    bounded_batches(docs.sparkSession)
     docs = docs.drop("score")
     schema = docs.schema
     fields = schema.fieldNames()
