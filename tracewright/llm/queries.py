@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .binary_output import op10_token_output
 from .decontaminate import op4_decontamination
 from .ngram_join import op3_ngram_join
@@ -18,4 +19,4 @@ from .toxicity import op5_toxicity
 from .url_filter import op6_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_substring_dedup, op3_ngram_join, op4_decontamination, op5_toxicity, op6_url_filter, op7_pii, op8_suffix_dedup, op9_packing, op10_token_output)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": oracles.OP2, "op3_ngram_join": oracles.OP3, "op8_suffix_dedup": oracles.OP8}
