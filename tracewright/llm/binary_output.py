@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, shuffle_partitions, table
+from .common import bounded_batches, new_path, process_memo, shuffle_partitions, table
 from .tokens import encoder, vocabulary_path
 
 MAGIC = b"TWEF"
@@ -142,6 +142,7 @@ def _encode(path: str, end_id: int, bounds: list[int]):
 
 def _blocks(block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        process_memo("blocks", dict)  # makes room: the encoder is done here
         held: list[tuple[int | None, bytes]] = []
         state = {"n": 0, "base": 0, "seq": 0, "part": 0, "width": 2}
 
@@ -167,7 +168,7 @@ def _blocks(block_ids: int):
     return run
 
 
-def write_token_dataset(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, block_ids: int = 1 << 20) -> None:
+def write_token_dataset(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, block_ids: int = 1 << 17) -> None:
     """Encode ``docs(doc_id, text)`` and write blocks of about ``block_ids`` ids.
 
     Texts are encoded where they lie; only ids are dealt out, by ranges of ``doc_id``
@@ -175,6 +176,7 @@ def write_token_dataset(docs: DataFrame, path: str, vocabulary: str, end_id: int
     so its blocks hold one bounded group of documents at a time in memory.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     n = shuffle_partitions(spark)
     bounds = docs.select(F.col("doc_id").cast("long")).approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
     (

@@ -7,9 +7,11 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from .common import process_memo
+
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 #: Entries of the memo; about 200 bytes each.
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 400_000
 
 
 def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
@@ -43,14 +45,14 @@ class PieceEncoder:
         self.vocab_size = size
 
     def _direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]  # without offsets
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Encode pieces that start with their only space, many to a call."""
+        """Encode pieces that start with their only space, many to a text."""
         out: list[bytes] = []
-        for k in range(0, len(pieces), 4096):
-            part = pieces[k : k + 4096]
-            ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, dtype="<u4")
+        parts = [pieces[k : k + 256] for k in range(0, len(pieces), 256)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
             cuts = np.flatnonzero(self.leads[ids])
             if len(cuts) != len(part) or (len(cuts) and cuts[0]):
                 out += self._direct(part)
@@ -79,25 +81,15 @@ class PieceEncoder:
         heads = [p for p in missing if p[0] != " "]
         found = dict(zip(led, self._pieces(led)))
         found.update(zip(heads, self._direct(heads)))
-        room = self.memo_entries - len(memo)
-        if len(found) <= room:
-            memo.update(found)
-            look = memo
-        else:
-            look = {p: memo.get(p) or found[p] for _, ps in cut for p in ps}
-            for p in led[: max(room, 0)]:
-                memo[p] = found[p]
+        memo.update(found)
         for i, pieces in cut:
-            out[i] = b"".join(map(look.__getitem__, pieces))
+            out[i] = b"".join(map(memo.__getitem__, pieces))
+        if (over := len(memo) - self.memo_entries) > 0:  # frequent pieces came first
+            for p in list(found)[-over:]:
+                del memo[p]
         return out  # type: ignore[return-value]
 
 
-_encoders: dict[tuple, PieceEncoder] = {}
-
-
 def encoder(path: str, memo_entries: int = MEMO_ENTRIES) -> PieceEncoder:
-    """The encoder of this worker process, kept between tasks."""
-    key = (path, memo_entries)
-    if key not in _encoders:
-        _encoders[key] = PieceEncoder(path, memo_entries)
-    return _encoders[key]
+    """The encoder of this worker process."""
+    return process_memo(("encoder", path, memo_entries), lambda: PieceEncoder(path, memo_entries))
