@@ -41,52 +41,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, release, shuffle_partitions, table
+from .anchors import mix, word_hashes
+from .common import bounded_batches, materialize, release, shuffle_partitions, table
 from .components import connected_components
 
 NO_ID = 1 << 62  #: documents without an id get internal ones from here on, by content
-_M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_M1 = np.uint64(0x9E3779B97F4A7C15)
 _LOW56 = np.uint64((1 << 56) - 1)
 STAR = 500  # sets of a star that one task walks
 
 
-class WordHashes(dict):
-    """Memo of 64-bit word hashes."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 500_000:
-            self[word] = h
-        return h
-
-
-_word_hashes = WordHashes()
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M2
-    x = (x ^ (x >> np.uint64(27))) * _M3
-    return x ^ (x >> np.uint64(31))
-
-
 def shingle_set(raw: bytes, width: int = 5) -> np.ndarray:
     """Sorted distinct hashes of a text's word shingles."""
     words = raw.lower().split()
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, n)
+    h = word_hashes(words)
     w = min(n, width)
     code = np.full(n - w + 1, w, np.uint64)
     for k in range(w):
         code = (code + h[k : k + len(code)]) * _M1
         code ^= code >> np.uint64(32)
-    return np.unique(_mix(code))
+    return np.unique(mix(code))
 
 
 def _least(num: int, den: int, n: int) -> int:
@@ -141,7 +122,7 @@ def _shingle(bits: int, batch_docs: int, batch_tokens: int):
         for part in batches:
             for i, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 s = shingle_set(raw or b"")
-                digest = (len(s), int(s.sum(dtype=np.uint64)), int(_mix(s * _M1).sum(dtype=np.uint64)))
+                digest = (len(s), int(s.sum(dtype=np.uint64)), int(mix(s * _M1).sum(dtype=np.uint64)))
                 if digest not in classes:
                     classes[digest] = len(classes)
                     sets.append(s)
@@ -186,7 +167,7 @@ def _count(bits: int):
                     e, q = entries[own][keep], rare[own][keep]
                     # rank: order byte, then 56 bits of the hash that all tasks agree on
                     full = (e >> np.uint64(16)) << np.uint64(16) if bits == 0 else (np.uint64(key) << np.uint64(64 - bits)) | ((e >> np.uint64(16)) << np.uint64(16) >> np.uint64(bits))
-                    rank = (q.astype(np.uint64) << np.uint64(56)) | (_mix(full) & _LOW56)
+                    rank = (q.astype(np.uint64) << np.uint64(56)) | (mix(full) & _LOW56)
                     out_batches.append(batches[k])
                     out_kinds.append(0)
                     out.append(struct.pack("<I", len(rank)) + rank.astype("<u8").tobytes() + (e & np.uint64(0xFFFF)).astype("<u2").tobytes())
@@ -313,7 +294,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     return leaves.unionByName(hubs).groupBy("centre", "salt").applyInArrow(_verify(num, den), "a long, b long")
 
 
-def shingle_classes(docs: DataFrame, num: int, den: int, batch_docs: int = 60_000, batch_tokens: int = 3_000_000) -> DataFrame:
+def shingle_classes(docs: DataFrame, num: int, den: int, batch_docs: int = 60_000, batch_tokens: int = 1_500_000) -> DataFrame:
     """Steps 1 and 2: classes of equal sets with their members and shared shingles in global order."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -331,6 +312,7 @@ def shingle_classes(docs: DataFrame, num: int, den: int, batch_docs: int = 60_00
 def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs(doc_id, text)``."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     classes, classes_path = materialize(shingle_classes(docs, num, den), "classes")
     alive = classes.where(F.col("ranks").isNotNull())
     digest = ["n", "d1", "d2"]
