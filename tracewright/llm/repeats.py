@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import byte_hashes, segments, word_hashes
-from .common import materialize
+from .common import bounded_batches, materialize
 
 NO_ID = 2**63 - 1
 
@@ -247,7 +247,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     """kid, kh, text as bytes: ids may be null or repeated, so the text's hash tells rows apart."""
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("kid"),
-        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("kh"),
+        F.pmod(F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), F.lit(1 << 31)).alias("kh"),
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
     )
 
@@ -255,6 +255,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 def repeated_windows(rows: DataFrame, unit, length: int, find: Callable = equal_windows) -> DataFrame:
     """kid, kh, start, windows, least: runs of windows of ``rows`` (see ``keyed``) that occur
     twice or more anywhere, with the least document they occur in."""
+    bounded_batches(rows.sparkSession)
     segs, _ = materialize(rows.mapInArrow(_segments(unit, length), _SEGMENT), "segments")
     place = F.struct("kid", "kh", "s0", "off", "ns")
     kinds = segs.groupBy("ah", "sh").agg(F.count("*").alias("cnt"), F.min(place).alias("p"))

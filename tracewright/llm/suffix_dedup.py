@@ -50,6 +50,8 @@ def suffix_array(text: bytes) -> tuple[np.ndarray, np.ndarray]:
         if rank[order[-1]] == n - 1 or k >= n:
             break
         k *= 2
+    if n == 1:
+        rank = np.zeros(1, np.int64)
     lcp, h = np.zeros(n, np.int64), 0
     for i in range(n):
         r = int(rank[i])
