@@ -283,6 +283,28 @@ def test_pseudonyms_keep_format_and_links(spark):
     out = {r.row: r for r in pii.pseudonymize(df).collect()}
     assert out[5].n_email == 1 and out[6].text is None and out[7].text == "" and out[7].doc_id is None
 
+CARD, IBAN = "4539148803436467", "DE89370400440532013000"
+
+
+@pytest.mark.parametrize("text", ["4539 1488 0343 6467 12/27", f"no. 12 {CARD}", f"pay {CARD} 100", "2023-02-29 4539 1488 0343 6467", "DE89 3704 0044 0532 0130 00 BIC COBADEFF", f"{IBAN} OK", f"AB12 {IBAN}", f"+1 {CARD}"])
+def test_values_beside_digits_and_capitals(text):
+    p = pii.Pseudonymizer(b"key")
+    alone = [p.replace(v)[0] for v in (CARD, IBAN)]
+    out, found = p.replace(text)
+    assert sum(found.values()) == 1 and any(v in out.replace(" ", "") for v in alone)
+
+
+def test_longer_runs_that_pass_by_chance_keep_the_link():
+    p = pii.Pseudonymizer(b"key")
+    new = p.replace(CARD)[0]
+    for k in range(1, 100):
+        assert p.replace(f"{k:02d} {CARD}") == (f"{k:02d} {new}", {"card": 1})
+        assert p.replace(f"{CARD} {k:02d}") == (f"{new} {k:02d}", {"card": 1})
+    assert p.replace("17,2024-02-29,born,2024-02-29")[1] == {"date": 2}
+    phone = "+1 (826) 555-4081"
+    for other, kind in (("190.137.223.204", "ip"), ("2024-02-29", "date"), ("4539 1488 0343 6467", "card")):
+        assert p.replace(f"{phone} {other}") == (f"{p.replace(phone)[0]} {p.replace(other)[0]}", {"phone": 1, kind: 1})
+
 
 # --- 9, 10
 

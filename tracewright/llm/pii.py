@@ -1,7 +1,9 @@
 """Personal data: keyed, format-preserving pseudonyms by Feistel permutation.
 
-A text is scanned once for candidates; each is validated (Luhn and ISO 7064 check digits,
-calendar, ranges of address and number parts) and replaced by the image of its value under
+A text is scanned for candidates; each is validated (Luhn and ISO 7064 check digits,
+calendar, ranges of address and number parts) with all shorter ones that start with it and
+end where a group of characters ends, as other numbers or capitals may follow a value. If
+none is valid the scan goes on behind the first group. A valid candidate is replaced by the image of its value under
 a keyed permutation of all values of its format: as many digits, the same separators, a
 valid check digit, an existing date. A permutation has no table, so equal values get equal
 pseudonyms in every document, task and run with one key, and different ones stay apart.
@@ -39,7 +41,7 @@ _FIND = re.compile(
       (?P<email>(?<![\w.+-])[A-Za-z0-9À-ÖØ-öø-ÿ][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})
     | (?P<secret>(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b)\s*[:=]\s*["']?[0-9a-fA-F]{8,128}(?![0-9A-Za-z])|\bAKIA[0-9A-Z]{12,20}(?![0-9A-Za-z]))
     | (?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}(?![A-Za-z0-9]))
-    | (?P<date>(?<![\d.,/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\d/-])(?!\.\d))
+    | (?P<date>(?<!\d)(?<!\d[./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\d/-])(?!\.\d))
     | (?P<phone>(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![\w(])\([0-9]{3}\)[ ]?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![\d-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![\d-]))
     | (?P<ip>(?<![\d.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\d])(?!\.\d))
     | (?P<ssn>(?<![\d-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\d-]))
@@ -47,7 +49,20 @@ _FIND = re.compile(
     """,
     re.VERBOSE,
 )
+#: The pattern of each kind by itself, in order, for what else may start where a candidate failed.
+_EACH = [(kind, re.compile(part.strip(), re.VERBOSE)) for kind, part in zip(KINDS, re.split(r"\n +\| ", _FIND.pattern))]
 _MAYBE = re.compile(r"[0-9@]")
+_GROUP = re.compile(r"[A-Za-z0-9]+")
+_DIGITS = re.compile(r"[0-9]+(?:[ -][0-9]+)*")
+#: Lengths of IBANs by country; those of others are not known here.
+_IBAN_LENGTH = {
+    c: n
+    for n, cs in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in cs.split()
+}
 _EPOCH, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
@@ -114,7 +129,7 @@ def _refill(shape: str, values: str, kind: str = "0123456789") -> str:
 class Pseudonymizer:
     def __init__(self, key: bytes):
         self.fpe = Feistel(key)
-        self.memo: dict[str, tuple[str, str] | None] = {}
+        self.memo: dict[tuple[str, str], str | None] = {}
 
     def _runs(self, text: str, tweak: bytes) -> str:
         """Letters and digits replaced within their class; all else stays."""
@@ -200,24 +215,97 @@ class Pseudonymizer:
         body = self.fpe.digits(flat[:-1], b"card")
         return _refill(text, body + luhn_digit(body))
 
+    def _new(self, kind: str, value: str) -> str | None:
+        """The pseudonym of ``value``, or None if it is not valid."""
+        if (kind, value) not in self.memo:
+            if len(self.memo) > 200_000:
+                self.memo.clear()
+            self.memo[kind, value] = getattr(self, kind)(value)
+        return self.memo[kind, value]
+
+    def _starts(self, text: str, at: int, kinds: tuple[str, ...]) -> bool:
+        """Whether a valid value of one of ``kinds`` starts at ``at``."""
+        return any((m := find.match(text, at)) and self._new(kind, m[0]) is not None for kind, find in _EACH if kind in kinds)
+
+    def _card_end(self, text: str, at: int, worst: int = 2) -> int | None:
+        """Where the card that starts at ``at`` ends, among all ends of digit groups.
+
+        One number in ten passes Luhn by chance, so a candidate gives way to one that
+        overlaps it in a more usual layout, or to another kind's value inside it.
+        """
+        # candidates from here span at most 37 characters, as do those that overlap them
+        groups = [(m.start() + at, m.end() + at) for m in re.finditer(r"[0-9]+", _DIGITS.match(text, at)[0][:76])]
+        if len(groups) > 1 and groups[-1][1] == at + 76:
+            groups.pop()  # it may be cut
+
+        def valid(k: int) -> list[tuple[int, int, int]]:
+            """(rank, minus the length, end) of the valid cards from group ``k``, best first."""
+            out, n, sizes = [], 0, []
+            for lo, hi in groups[k:]:
+                n += hi - lo
+                sizes.append(hi - lo)
+                if n > 19:
+                    break
+                value = text[groups[k][0] : hi]
+                if n >= 13 and self._new("card", value) is not None:
+                    plain = len(set(value) & set(" -")) < 2
+                    if plain and tuple(sizes) in {(16,), (15,), (4, 4, 4, 4), (4, 6, 5)}:
+                        rank = 0
+                    elif plain and (len(sizes) == 1 or tuple(sizes) == (4, 6, 4) or sizes[:-1] in ([4] * 3, [4] * 4) and sizes[-1] < 4):
+                        rank = 1
+                    else:
+                        rank = 2
+                    out.append((rank, -n, hi))
+            return sorted(out)
+
+        for rank, _, hi in valid(0):
+            inside = [k for k, (lo, _) in enumerate(groups) if k and lo < hi]
+            if rank and any(other[0] < rank for k in inside for other in valid(k)[:1]):
+                continue
+            if rank > worst or rank == 2 and any(self._starts(text, groups[k][0], ("date", "phone", "ssn")) for k in inside):
+                continue
+            return hi
+        return None
+
+    def _end(self, kind: str, text: str, at: int, end: int) -> int | None:
+        """Where the valid value of ``kind`` that starts at ``at`` ends; a greedy candidate ends at ``end``."""
+        if kind == "card":
+            return self._card_end(text, at)
+        ends = [end]
+        if kind in ("iban", "phone"):
+            ends = [at + m.end() for m in _GROUP.finditer(text[at:end])][::-1]
+        if kind == "phone":
+            # another value behind the number is not a part of it
+            starts = [at + m.start() for m in _GROUP.finditer(text[at:end])][1:]
+            cut = next((s for s in starts if self._starts(text, s, ("date", "ip", "ssn")) or _EACH[-1][1].match(text, s) and self._card_end(text, s, 0)), end)
+            ends = [e for e in ends if e <= cut]
+            if re.match(r"\+1[ .(-]", text[at:end]):
+                ends.sort(key=lambda e: (sum(c.isdigit() for c in text[at:e]) != 11, -e))
+        if kind == "iban":
+            length = _IBAN_LENGTH.get(text[at : at + 2])
+            ends.sort(key=lambda e: (e - at - text.count(" ", at, e) != length, -e))
+        return next((e for e in ends if self._new(kind, text[at:e]) is not None), None)
+
     def replace(self, text: str) -> tuple[str, dict[str, int]]:
         if not _MAYBE.search(text):
             return text, {}
         found: dict[str, int] = {}
-
-        def sub(m: re.Match) -> str:
-            kind, value = m.lastgroup, m[0]
-            if value not in self.memo:
-                if len(self.memo) > 200_000:
-                    self.memo.clear()
-                new = getattr(self, kind)(value)
-                self.memo[value] = None if new is None else (kind, new)
-            if (hit := self.memo[value]) is None:
-                return value
-            found[hit[0]] = found.get(hit[0], 0) + 1
-            return hit[1]
-
-        return _FIND.sub(sub, text), found
+        out: list[str] = []
+        done = pos = 0
+        while m := _FIND.search(text, pos):
+            at, kind = m.start(), m.lastgroup
+            end = self._end(kind, text, at, m.end())
+            if end is None:
+                for kind, find in _EACH[KINDS.index(kind) + 1 :]:
+                    if (other := find.match(text, at)) and (end := self._end(kind, text, at, other.end())) is not None:
+                        break
+            if end is None:
+                pos = _GROUP.search(text, at).end()
+                continue
+            out += [text[done:at], self._new(kind, text[at:end])]
+            found[kind] = found.get(kind, 0) + 1
+            done = pos = end
+        return "".join(out) + text[done:], found
 
 
 def _run(key: bytes):
