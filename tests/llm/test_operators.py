@@ -200,6 +200,21 @@ def test_alignment(seed):
     assert best == h.max() and matched <= columns and start <= end
 
 
+def leaked(text, item):
+    w = item.split()
+    matched, columns, *_ = decontaminate.align(decontaminate.words(text), w)
+    return matched >= 0.6 * len(w) and matched >= 0.6 * columns
+
+
+def test_copies_with_an_insertion(spark):
+    item = " ".join(f"w{k}" for k in range(40))
+    w = item.split()
+    docs = [(n, " ".join([f"a{k}" for k in range(50)] + w[:20] + [f"x{k}" for k in range(n)] + w[20:] + ["b"] * 50)) for n in (9, 17, 25, 26)]
+    assert [leaked(t, item) for _, t in docs] == [True, True, True, True]
+    found = decontaminate.leaks(frame(spark, docs), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {r.doc_id: r.cover for r in found} == {9: 1.0, 17: 1.0, 25: 1.0, 26: 1.0}
+
+
 # --- 5
 
 

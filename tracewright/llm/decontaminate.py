@@ -4,8 +4,8 @@ Words are lower-cased runs of letters and digits. A first pass counts, over ever
 document, how often each of the test items' n-grams occurs. Each item keeps as seeds the
 rarest n-grams of every stretch of ``stretch`` words, however often they occur: an item
 that is copied into a third of the corpus still has its seeds. A second pass looks the
-seeds up in the documents; hits that lie on nearby diagonals of (document, item) name a
-window, and a banded Smith-Waterman alignment of window and item scores it. A passage is
+seeds up in the documents; hits that lie on nearby diagonals of (document, item), as near
+as one passage of the least identity may have them, name a window, and a banded Smith-Waterman alignment of window and item scores it. A passage is
 a leak if the alignment's matched words cover ``min_cover`` of the item and
 ``min_identity`` of the aligned stretch.
 
@@ -22,6 +22,7 @@ pass through; an empty table on either side gives no rows; other columns are ign
 from __future__ import annotations
 
 import functools
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -148,7 +149,7 @@ def choose_seeds(item_words: list[list[str]], counts: dict[tuple[str, ...], int]
     return dict(seeds)
 
 
-def _matcher(index: Index, item_words: list[list[str]], item_ids: list, min_cover: float, min_identity: float, slack: int):
+def _matcher(index: Index, item_words: list[list[str]], item_ids: list, min_cover: float, min_identity: float):
     bags = [Counter(ws) for ws in item_words]
 
     def matches(text: str) -> list[tuple]:
@@ -161,6 +162,7 @@ def _matcher(index: Index, item_words: list[list[str]], item_ids: list, min_cove
         out = []
         for item, found in sorted(starts.items()):
             target, best = item_words[item], None
+            slack = math.floor(len(target) / min_identity + 1e-9) - len(target)  # the most other words a passage may have
             found.sort()
             k = 0
             while k < len(found):  # hits on nearby diagonals share a window
@@ -215,7 +217,7 @@ def _blocks(items: DataFrame) -> list[list]:
     return [items.where(part == k) for k in range(n)] if n > 1 else [items]
 
 
-def _matchers(docs: DataFrame, benchmark: DataFrame, n: int = 3, stretch: int = 5, per_stretch: int = 2, min_cover: float = 0.6, min_identity: float = 0.6, slack: int = 8) -> Iterator:
+def _matchers(docs: DataFrame, benchmark: DataFrame, n: int = 3, stretch: int = 5, per_stretch: int = 2, min_cover: float = 0.6, min_identity: float = 0.6) -> Iterator:
     """A matcher for each block of items, its seeds chosen by counts over all of ``docs``."""
     bounded_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
@@ -230,7 +232,7 @@ def _matchers(docs: DataFrame, benchmark: DataFrame, n: int = 3, stretch: int =
         sums = docs.select("text").mapInArrow(_count(counting), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
         counts = {all_grams[r.gram]: r.n for r in sums.collect()}  # at most one row for each n-gram of the block
         seeds = Index(choose_seeds(item_words, counts, n, stretch, per_stretch), n)
-        yield _matcher(seeds, item_words, item_ids, min_cover, min_identity, slack)
+        yield _matcher(seeds, item_words, item_ids, min_cover, min_identity)
 
 
 def _packed(docs: DataFrame) -> DataFrame:
