@@ -215,6 +215,24 @@ def test_copies_with_an_insertion(spark):
     assert {r.doc_id: r.cover for r in found} == {9: 1.0, 17: 1.0, 25: 1.0, 26: 1.0}
 
 
+def test_recall_of_edited_copies(spark):
+    """All that an alignment of every document with every item finds is found."""
+    r = random.Random(4)
+    prose = [f"v{int(r.paretovariate(0.7))}" for _ in range(9000)]
+    items = [(k, " ".join(prose[100 * k : 100 * k + n])) for k, n in enumerate([1, 2, 4, 5, 14, 14, 15, 20, 20, 40, 59])]
+    docs = []
+    for k in range(330):
+        w = items[k % len(items)][1].split()
+        for i in r.sample(range(len(w)), int(r.choice([0.2, 0.3, 0.38, 0.4, 0.5]) * len(w))):
+            w[i] = r.choice([f"n{i}", f"n{i} m{i}", "", w[i] + " o"]) if k % 3 else f"n{i}"
+        at = r.randrange(2000, 8000)
+        docs.append((k, " ".join(prose[at : at + 40] + w + prose[at + 40 : at + 90])))
+    expected = {(i, k) for i, t in docs for k, item in items if leaked(t, item)}
+    found = decontaminate.leaks(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(expected) > 200 and expected <= {(f.doc_id, f.item_id) for f in found}
+    assert all(f.cover >= 0.6 for f in found)
+
+
 # --- 5
 
 

@@ -1,27 +1,27 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram hits counted by window, then Smith-Waterman alignment.
 
-Words are lower-cased runs of letters and digits. A first pass counts, over every
-document, how often each of the test items' n-grams occurs. Each item keeps as seeds the
-rarest n-grams of every stretch of ``stretch`` words, however often they occur: an item
-that is copied into a third of the corpus still has its seeds. A second pass looks the
-seeds up in the documents; hits that lie on nearby diagonals of (document, item), as near
-as one passage of the least identity may have them, name a window, and a banded Smith-Waterman alignment of window and item scores it. A passage is
-a leak if the alignment's matched words cover ``min_cover`` of the item and
-``min_identity`` of the aligned stretch.
+Words are lower-cased runs of letters and digits. A passage is a leak if its alignment's
+matched words cover ``min_cover`` of the item and ``min_identity`` of the aligned stretch.
+What a leak must have follows from the two: of ``m`` matched words with at most ``e`` other
+columns, at least ``m - (n - 1) * (e + 1)`` n-grams are intact, within as many words as the
+longest allowed alignment has. ``n`` is the largest (at most 3) that leaves one. All n-grams
+of all items are looked up in the documents; only windows with that many hits, wherever
+edits and insertions lie, are aligned. No leak of the thresholds is without a window.
 
 The test items are the side that is sent to all tasks; its size is checked first. Items
 beyond ``MAX_ITEM_BYTES`` are taken in as many blocks as needed, each within the bound,
-with the two passes run for each block: a stated query set against all rows. Documents
-are never shuffled; the counts are combined in each task and then summed by n-gram.
+with a pass run for each block: a stated query set against all rows. Documents are never
+shuffled.
 
-Defined cases: null and empty texts, on either side, match nothing; items with fewer than
-``n`` words are one n-gram; repeated items and rows each report their own match; null ids
+Defined cases: null and empty texts, on either side, match nothing; items of a few words
+are looked up word by word; repeated items and rows each report their own match; null ids
 pass through; an empty table on either side gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import re
 from collections import Counter, defaultdict
@@ -38,6 +38,7 @@ from .common import bounded_batches, table
 MAX_ITEM_BYTES = 16 << 20
 _WORD = re.compile(r"[^\W_]+")
 MATCH, MISMATCH, GAP = 2, -1, -1
+STEP = 5000  # words of a document that are looked up at once
 
 
 def words(text: str) -> list[str]:
@@ -48,23 +49,36 @@ def grams(ws: list[str], n: int) -> list[tuple[str, ...]]:
     return [tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)] if len(ws) >= n else [tuple(ws)] if ws else []
 
 
+def needs(length: int, min_cover: float, min_identity: float) -> tuple[int, int, int]:
+    """(n, hits, span): a leak of an item has that many intact n-grams within ``span`` words."""
+    least = max(1, math.ceil(min_cover * length - 1e-9))
+    others = [math.floor(m / min_identity - m + 1e-9) for m in range(least, length + 1)]
+    for n in (3, 2, 1):
+        hits = min(m - (n - 1) * (e + 1) for m, e in enumerate(others, least))
+        if hits > 0:
+            return n, hits, math.floor(length / min_identity + 1e-9)
+    raise AssertionError("a matched word is a hit")
+
+
 class Index:
     """N-grams of items by their words' numbers, for look-ups of whole documents at once."""
 
-    def __init__(self, wanted: dict[tuple[str, ...], list], n: int):
+    def __init__(self, wanted: dict[tuple[str, ...], list[int]], n: int):
         self.n = n
         self.numbers: dict[str, int] = {}
         for g in wanted:
             for w in g:
                 self.numbers.setdefault(w, len(self.numbers) + 1)
         self.base = len(self.numbers) + 1
-        full = {g: v for g, v in wanted.items() if len(g) == n}
-        self.short = {g: v for g, v in wanted.items() if len(g) < n}
         if self.base**n >= 2**63:
             raise ValueError("too many distinct words for one block of items")
-        codes = np.array([self._code(g) for g in full], dtype=np.int64)
+        codes = np.array([self._code(g) for g in wanted], dtype=np.int64)
         order = np.argsort(codes)
-        self.codes, self.values = codes[order], [list(full.values())[k] for k in order]
+        lists = list(wanted.values())
+        self.codes = codes[order]
+        self.sizes = np.array([len(lists[k]) for k in order], dtype=np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.items = np.array([i for k in order for i in lists[k]], dtype=np.int64)
         # a first look in a bit table spares most positions the binary search
         self.bits = np.zeros(1 << 20, dtype=bool)
         self.bits[self.codes % (1 << 20)] = True
@@ -75,39 +89,40 @@ class Index:
             code = code * self.base + self.numbers[w]
         return code
 
-    def hits(self, ws: list[str]) -> list[tuple[int, list]]:
-        """(position, values) of every wanted n-gram of ``ws``."""
-        out: list[tuple[int, list]] = []
+    def hits(self, ws: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Items and positions of every wanted n-gram of ``ws``, by item and position."""
+        n = self.n
+        if len(ws) < n:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         get = self.numbers.get
         ids = np.array([get(w, 0) for w in ws], dtype=np.int64)
-        n = self.n
-        if len(ids) >= n and len(self.codes):
-            code = np.zeros(len(ids) - n + 1, dtype=np.int64)
-            known = np.ones(len(code), dtype=bool)
-            for k in range(n):
-                part = ids[k : k + len(code)]
-                code = code * self.base + part
-                known &= part > 0
-            at = np.flatnonzero(known & self.bits[code % (1 << 20)])
-            where = np.minimum(np.searchsorted(self.codes, code[at]), len(self.codes) - 1)
-            same = self.codes[where] == code[at]
-            out += [(int(i), self.values[k]) for i, k in zip(at[same], where[same])]
-        for g, value in self.short.items():
-            first = get(g[0], 0)
-            out += [(int(i), value) for i in np.flatnonzero(ids == first) if tuple(ws[i : i + len(g)]) == g]
-        return out
-
-
-def align(a: list[str], b: list[str]) -> tuple[int, int, int, int, int]:
+        code = np.zeros(len(ids) - n + 1, dtype=np.int64)
+        known = np.ones(len(code), dtype=bool)
+        for k in range(n):
+            part = ids[k : k + len(code)]
+            code = code * self.base + part
+            known &= part > 0
+        at = np.flatnonzero(known & self.bits[code % (1 << 20)])
+        where = np.minimum(np.searchsorted(self.codes, code[at]), len(self.codes) - 1)
+        same = self.codes[where] == code[at]
+        at, where = at[same], where[same]
+        size = self.sizes[where]
+        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        item, at = self.items[np.repeat(self.first[where], size) + step], np.repeat(at, size)
+        order = np.argsort(item, kind="stable")
+        return item[order], at[order]
+
+
+def align(a: list[str], b: list[str], match: int = MATCH, mismatch: int = MISMATCH, gap: int = GAP) -> tuple[int, int, int, int, int]:
     """Best local alignment: matched words, aligned columns, start and end in ``a``, score."""
     codes: dict[str, int] = {}
     x = np.array([codes.setdefault(w, len(codes)) for w in a])
     y = np.array([codes.setdefault(w, len(codes)) for w in b])
     n, m = len(x), len(y)
     score = np.zeros((n + 1, m + 1), dtype=np.int32)
-    ramp = GAP * np.arange(m + 1)
+    ramp = gap * np.arange(m + 1)
     for i in range(1, n + 1):
-        row = np.maximum(score[i - 1, 1:] + GAP, score[i - 1, :-1] + np.where(y == x[i - 1], MATCH, MISMATCH))
+        row = np.maximum(score[i - 1, 1:] + gap, score[i - 1, :-1] + np.where(y == x[i - 1], match, mismatch))
         row = np.concatenate([[0], np.maximum(row, 0)])
         score[i] = np.maximum.accumulate(row - ramp) + ramp  # gaps along the row
     i, j = np.unravel_index(int(score.argmax()), score.shape)
@@ -115,69 +130,69 @@ def align(a: list[str], b: list[str]) -> tuple[int, int, int, int, int]:
     while i and j and score[i, j] > 0:
         columns += 1
         equal = x[i - 1] == y[j - 1]
-        if score[i, j] == score[i - 1, j - 1] + (MATCH if equal else MISMATCH):
+        if score[i, j] == score[i - 1, j - 1] + (match if equal else mismatch):
             matched += bool(equal)
             i, j = i - 1, j - 1
-        elif score[i, j] == score[i - 1, j] + GAP:
+        elif score[i, j] == score[i - 1, j] + gap:
             i -= 1
         else:
             j -= 1
     return matched, columns, int(i), end, best
 
 
-def _count(index: Index):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[int] = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    counts.update(v for _, v in index.hits(words(text)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["gram", "n"])
-
-    return run
-
-
-def choose_seeds(item_words: list[list[str]], counts: dict[tuple[str, ...], int], n: int, stretch: int, per_stretch: int) -> dict[tuple[str, ...], list]:
-    """n-gram -> [(item, position)]: the rarest of each stretch of each item."""
-    seeds: dict[tuple[str, ...], list] = defaultdict(list)
-    for k, ws in enumerate(item_words):
-        gs = grams(ws, n)
-        for at in range(0, len(gs), stretch):
-            part = range(at, min(at + stretch, len(gs)))
-            for i in sorted(part, key=lambda i: (counts.get(gs[i], 0), i))[:per_stretch]:
-                seeds[gs[i]].append((k, i))
-    return dict(seeds)
-
-
-def _matcher(index: Index, item_words: list[list[str]], item_ids: list, min_cover: float, min_identity: float):
+def _matcher(item_words: list[list[str]], item_ids: list, min_cover: float, min_identity: float):
     bags = [Counter(ws) for ws in item_words]
+    of = {length: needs(length, min_cover, min_identity) for length in {len(ws) for ws in item_words}}
+    n, least, span = (np.array(x, dtype=np.int64) for x in zip(*(of[len(ws)] for ws in item_words)))
+    wanted: dict[int, dict[tuple[str, ...], list[int]]] = defaultdict(lambda: defaultdict(list))
+    for k, ws in enumerate(item_words):
+        for g in dict.fromkeys(grams(ws, int(n[k]))):
+            wanted[int(n[k])][g].append(k)
+    longest = int(span.max())
+    # best score first; a passage that it bridges with too many other words is sought by harder ones
+    weights = [(MATCH, MISMATCH, GAP), (1, -1, -1), (round(100 * (1 - min_identity)), *[-round(100 * min_identity)] * 2)]
+    indexes = [Index(w, size) for size, w in wanted.items()]
+
+    def windows(ws: list[str]) -> dict[int, list[list[int]]]:
+        """Item -> stretches of ``ws`` that hold every passage with enough hits."""
+        out: dict[int, list[list[int]]] = defaultdict(list)
+        for index, start in itertools.product(indexes, range(0, len(ws), STEP)):
+            item, at = index.hits(ws[start : start + STEP + longest])
+            at = at + start
+            last = np.arange(len(item)) + least[item] - 1
+            inside = np.flatnonzero(last < len(item))
+            last = last[inside]
+            enough = (item[last] == item[inside]) & (at[last] + index.n - at[inside] <= span[item[inside]])
+            for k, lo, hi in zip(item[inside][enough].tolist(), at[inside][enough].tolist(), at[last][enough].tolist()):
+                width = int(span[k])
+                # a passage with these hits starts and ends within its span around them
+                lo, hi = max(0, hi + index.n - width), min(len(ws), lo + width)
+                if out[k] and lo <= out[k][-1][1]:
+                    out[k][-1][1] = max(hi, out[k][-1][1])
+                else:
+                    out[k].append([lo, hi])
+        return out
 
     def matches(text: str) -> list[tuple]:
         """(item id, cover, first and last word, alignment score) of each leaked item, best passage."""
         ws = words(text)
-        starts: dict[int, list[int]] = defaultdict(list)
-        for i, places in index.hits(ws):
-            for item, at in places:
-                starts[item].append(i - at)
         out = []
-        for item, found in sorted(starts.items()):
-            target, best = item_words[item], None
-            slack = math.floor(len(target) / min_identity + 1e-9) - len(target)  # the most other words a passage may have
-            found.sort()
-            k = 0
-            while k < len(found):  # hits on nearby diagonals share a window
-                j = k
-                while j + 1 < len(found) and found[j + 1] - found[j] <= slack and found[j + 1] - found[k] <= len(target):
-                    j += 1
-                lo = max(0, found[k] - slack)
-                window = ws[lo : found[j] + len(target) + slack]
-                k = j + 1
-                if (Counter(window) & bags[item]).total() < min_cover * len(target):
-                    continue  # no alignment matches more words than both have
-                matched, columns, a, b, score = align(window, target)
-                cover, identity = matched / len(target), matched / max(columns, 1)
-                if cover >= min_cover and identity >= min_identity and (best is None or score > best[4]):
-                    best = (item_ids[item], cover, lo + a, lo + b, score)
+        for item, stretches in sorted(windows(ws).items()):
+            target, best, width = item_words[item], None, int(span[item])
+            for first, end in stretches:
+                # long stretches in pieces; each passage is whole in one of them
+                for lo in range(first, max(first + 1, end - width), 3 * width):
+                    window = ws[lo : min(end, lo + 4 * width)]
+                    if (Counter(window) & bags[item]).total() < min_cover * len(target) - 1e-9:
+                        continue  # no alignment matches more words than both have
+                    for w in weights:
+                        matched, columns, a, b, score = align(window, target, *w)
+                        cover, identity = matched / len(target), matched / max(columns, 1)
+                        if cover < min_cover or identity >= min_identity:
+                            break  # harder weights never match more words
+                    score = MATCH * matched + GAP * (columns - matched)
+                    if cover >= min_cover and identity >= min_identity and (best is None or score > best[4]):
+                        best = (item_ids[item], cover, lo + a, lo + b, score)
             if best:
                 out.append(best)
         return out
@@ -217,22 +232,15 @@ def _blocks(items: DataFrame) -> list[list]:
     return [items.where(part == k) for k in range(n)] if n > 1 else [items]
 
 
-def _matchers(docs: DataFrame, benchmark: DataFrame, n: int = 3, stretch: int = 5, per_stretch: int = 2, min_cover: float = 0.6, min_identity: float = 0.6) -> Iterator:
-    """A matcher for each block of items, its seeds chosen by counts over all of ``docs``."""
+def _matchers(docs: DataFrame, benchmark: DataFrame, min_cover: float = 0.6, min_identity: float = 0.6) -> Iterator:
+    """A matcher for each block of items."""
     bounded_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
     for block in _blocks(items):
         rows = sorted(block.collect(), key=lambda r: (r.item_id is None, r.item_id or 0, r.text))
         kept = [(r.item_id, ws) for r in rows if (ws := words(r.text))]
-        if not kept:
-            continue
-        item_ids, item_words = [i for i, _ in kept], [ws for _, ws in kept]
-        all_grams = sorted({g for ws in item_words for g in grams(ws, n)})
-        counting = Index({g: k for k, g in enumerate(all_grams)}, n)
-        sums = docs.select("text").mapInArrow(_count(counting), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        counts = {all_grams[r.gram]: r.n for r in sums.collect()}  # at most one row for each n-gram of the block
-        seeds = Index(choose_seeds(item_words, counts, n, stretch, per_stretch), n)
-        yield _matcher(seeds, item_words, item_ids, min_cover, min_identity)
+        if kept:
+            yield _matcher([ws for _, ws in kept], [i for i, _ in kept], min_cover, min_identity)
 
 
 def _packed(docs: DataFrame) -> DataFrame:
