@@ -164,6 +164,31 @@ def test_joins_at_the_threshold_and_through_chains(spark):
     assert rows(ngram_join.jaccard_components(frame(spark, out)), "doc_id", "n_shingles", "component_id") == components(out)
 
 
+@pytest.mark.parametrize("block", [3, 500])
+def test_all_links(spark, block):
+    """Every pair of rows that links, inside components too, against brute force."""
+    r = random.Random(8)
+    out, start = [], [f"w{k}" for k in range(100)]
+    for i in range(40):
+        text = list(start)
+        for _ in range(r.randrange(3)):
+            text[r.randrange(100)] = f"n{i}"
+        out.append((i, " ".join(text)))
+    out += [(50, out[3][1]), (None, out[4][1]), (None, out[5][1] + " and"), (51, "one two"), (52, "ONE two"), (53, ""), (54, None), (55, "quite alone")]
+    sets = [set(ngram_join.shingle_set((t or "").encode()).tolist()) for _, t in out]
+    link = lambda x, y: bool(x and y) and 100 * len(x & y) >= 75 * len(x | y)
+    expected = collections.Counter((i, sum(link(x, y) for k, y in enumerate(sets) if k != j)) for j, ((i, _), x) in enumerate(zip(out, sets)))
+    joined, links = ngram_join.jaccard_join(frame(spark, out), block=block)
+    got = joined.collect()
+    assert collections.Counter((r.doc_id, r.n_links) for r in got) == expected
+    of = {r.doc_id: r.class_id for r in got if r.doc_id is not None}
+    pairs = {(r.a, r.b): r.overlap for r in links.collect()}
+    wanted = {tuple(sorted((of[i], of[j]))): len(x & y) for (i, _), x in zip(out, sets) for (j, _), y in zip(out, sets) if None not in (i, j) and x != y and link(x, y)}
+    assert len(wanted) > 50 and wanted == {k: v for k, v in pairs.items() if set(k) <= set(of.values())} and links.count() == len(pairs)
+    components = rows(ngram_join.jaccard_components(frame(spark, out)), "doc_id", "n_shingles", "component_id")
+    assert rows(joined, "doc_id", "n_shingles", "component_id") == components
+
+
 def test_tree_walk():
     r = np.random.default_rng(2)
     for _ in range(30):

@@ -1,7 +1,8 @@
 """N-gram Jaccard join: prefix-tree join over globally ordered shingle sets.
 
 Exact at the threshold: two documents link if ``den * |x & y| >= num * |x | y|`` of their
-sets of five-word shingles. The result is each document's component, not all pairs.
+sets of five-word shingles. ``jaccard_components`` gives each document's component,
+``jaccard_join`` also its class and number of links, and every link of two classes.
 
 1. *Sets.* A task turns its documents into sets of 64-bit shingle hashes. Equal sets of a
    task are one class from here on, so groups of exact copies shrink before any shuffle.
@@ -20,6 +21,9 @@ sets of five-word shingles. The result is each document's component, not all pai
    the size and remaining-length bounds at it, are still open; they are verified the same
    way. Pairs inside a component are never formed, so a group of thousands of near copies
    costs its stars. Components are then joined over all links.
+6. *All links* (``jaccard_join``). Both ends of a link are in one component, so the sets of
+   a component are compared with each other, in pairs of blocks where it is large. Links
+   are between classes of equal sets; the members of a class are linked by its class id.
 
 Verification is the tree walk of the name: a star's sets, in global order, form a trie;
 the walk carries the overlap with the centre down shared prefixes and leaves a subtree as
@@ -309,16 +313,20 @@ def shingle_classes(docs: DataFrame, num: int, den: int, batch_docs: int = 60_00
     )
 
 
-def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs(doc_id, text)``."""
+def _graph(docs: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes, the nodes of those that may link, and the component of each node that has a link."""
     spark = docs.sparkSession
     bounded_batches(spark)
     classes, classes_path = materialize(shingle_classes(docs, num, den), "classes")
     alive = classes.where(F.col("ranks").isNotNull())
     digest = ["n", "d1", "d2"]
-    nodes, nodes_path = materialize(alive.groupBy(*digest).agg(F.min("rep").alias("node"), F.first("ranks").alias("ranks")), "nodes")
-    # rows with one id and different texts are one node; the least digest's set stands for them
-    sets = nodes.groupBy("node").agg(F.min(F.struct("n", "d1", "d2", "ranks")).alias("s")).select("node", "s.n", "s.ranks")
+    by_set, _ = materialize(alive.groupBy(*digest).agg(F.min("rep").alias("id"), F.first("ranks").alias("ranks")), "nodes")
+    # the least id of several classes names the one of the least digest; the others get internal ids
+    named = by_set.groupBy("id").agg(F.min(F.struct(*digest)).alias("s"), F.count("*").alias("k")).where("k > 1").select("id", "s")
+    internal = F.lit(NO_ID) + F.pmod(F.xxhash64("id", *digest), F.lit(NO_ID))
+    nodes = by_set.join(named, "id", "left").select(F.when(F.col("s") != F.struct(*digest), internal).otherwise(F.col("id")).alias("node"), "id", *digest, "ranks")
+    nodes, _ = materialize(nodes, "nodes") if named.take(1) else (by_set.withColumn("node", F.col("id")), None)
+    sets = nodes.select("node", "n", "ranks")
     prefixes, prefix_path = materialize(sets.mapInArrow(_prefixes(num, den), "token long, node long, n long, rest long"), "prefixes")
     shared = prefixes.groupBy("token").agg(F.min("node").alias("centre"), F.min_by("n", "node").alias("n_centre"), F.count("*").alias("size")).where("size > 1")
     close = F.least("n", "n_centre") * den >= F.greatest("n", "n_centre") * num
@@ -344,15 +352,94 @@ def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100) -> DataFr
         .distinct()
     )
     second = _links(rest, sets, num, den)
-    found, found_path = materialize(first.unionByName(second), "links")
+    same_id = nodes.where("node != id").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    found, found_path = materialize(first.unionByName(second).unionByName(same_id), "links")
     joined = connected_components(found)
-    # every class -> the least id of its digest -> that node's component
-    by_digest = nodes.join(joined, "node", "left").select(*digest, F.coalesce("component", "node").alias("component"))
-    out = classes.join(by_digest, digest, "left").select(F.explode("members").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("least"))
     release(spark, prefix_path, first_path, open_path, found_path)
-    real = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
+    return classes, nodes, joined
+
+
+def _real(column: str) -> F.Column:
+    return F.when(F.col(column) < NO_ID, F.col(column))
+
+
+_DIGEST = ["n", "d1", "d2"]
+
+
+def _with_components(classes: DataFrame, nodes: DataFrame, joined: DataFrame) -> DataFrame:
+    """Every class with its node, null if it is alone, and the least id of its component."""
+    # every class -> the least id of its digest -> that node's component
+    by_digest = nodes.join(joined, "node", "left").select(*_DIGEST, "node", F.coalesce("component", "node").alias("component"))
+    return classes.join(by_digest, _DIGEST, "left").withColumn("least", F.coalesce("component", "rep"))
+
+
+def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of ``docs(doc_id, text)``."""
+    out = _with_components(*_graph(docs, num, den)).select(F.explode("members").alias("doc_id"), F.col("n").alias("n_shingles"), "least")
+    alone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least"))
+    return out.withColumn("least", alone).select(_real("doc_id").alias("doc_id"), "n_shingles", _real("least").alias("component_id"))
+
+
+def _pairs(num: int, den: int):
+    """A pair of blocks of one component (or a block with itself) -> its links."""
+
+    def run(group: pa.Table) -> pa.Table:
+        node, n, salt = (group.column(c).to_numpy() for c in ("node", "n", "salt"))
+        order = np.argsort(node)
+        node, n, salt = node[order], n[order], salt[order]
+        raws = group.column("ranks").to_pylist()
+        sets = [np.frombuffer(raws[k], "<u8") for k in order]
+        starts = np.cumsum([0] + [len(s) for s in sets])
+        code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        mark = np.zeros(len(code), dtype=bool)
+        across = group.column("i")[0].as_py() != group.column("j")[0].as_py()
+        out: list[list[np.ndarray]] = [[], [], []]
+        for k in range(len(sets) - 1):
+            own = code[starts[k] : starts[k + 1]]
+            mark[own] = True
+            overlap = np.add.reduceat(mark[code[starts[k + 1] :]], starts[k + 1 : -1] - starts[k + 1], dtype=np.int64)
+            mark[own] = False
+            linked = overlap * (num + den) >= num * (n[k] + n[k + 1 :])
+            if across:
+                linked &= salt[k + 1 :] != salt[k]
+            at = np.flatnonzero(linked)
+            for column, values in zip(out, (np.full(len(at), node[k]), node[k + 1 :][at], overlap[at])):
+                column.append(values)
+        return pa.table([pa.array(np.concatenate([np.zeros(0, np.int64), *c]), pa.int64()) for c in out], names=["a", "b", "overlap"])
+
+    return run
+
+
+def jaccard_join(docs: DataFrame, num: int = 75, den: int = 100, block: int = STAR) -> tuple[DataFrame, DataFrame]:
+    """The whole join: every row's class and every link of two classes.
+
+    The first frame has doc_id, n_shingles, component_id, class_id and n_links of every row
+    of ``docs``; rows with equal sets share their class, and ``n_links`` counts the other
+    rows a row links with, in its class and in others. The second has ``a < b``, two class
+    ids, and the overlap of their sets, for each link between different sets, also inside
+    a component. A class id is the least doc_id of the class, or an internal number from
+    ``NO_ID`` on where that is null or names another class; empty texts have null.
+    """
+    spark = docs.sparkSession
+    classes, nodes, joined = _graph(docs, num, den)
+    inside = nodes.join(joined, "node")
+    blocks = inside.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    salted = inside.join(blocks, "component").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = salted.select("component", "node", "n", "ranks", "salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = other.select("component", "node", "n", "ranks", "salt", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"))
+    links, _ = materialize(cells.groupBy("component", "i", "j").applyInArrow(_pairs(num, den), "a long, b long, overlap long"), "class-links")
+    # a class may come from several batches; those without a node are in one only
+    found = _with_components(classes, nodes, joined).withColumn("class_id", F.when(F.col("n") > 0, F.coalesce("node", "rep")))
+    sizes = found.where("n > 0").groupBy("class_id", *_DIGEST).agg(F.sum(F.size("members")).alias("size"))
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    node_sizes = sizes.join(nodes.select("node", *_DIGEST), _DIGEST).select(F.col("node").alias("b"), "size")
+    further = both.join(node_sizes, "b").groupBy(F.col("a").alias("node")).agg(F.sum("size").alias("further"))
+    counted = sizes.join(nodes.select("node", *_DIGEST), _DIGEST, "left").join(further, "node", "left")
+    counted = counted.select(*_DIGEST, (F.col("size") - 1 + F.coalesce("further", F.lit(0))).alias("links"))
+    out = found.join(counted, _DIGEST, "left").select(F.explode("members").alias("doc_id"), F.col("n").alias("n_shingles"), "least", "class_id", F.coalesce("links", F.lit(0)).alias("n_links"))
     alone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least"))
-    return out.withColumn("least", alone).select(real("doc_id").alias("doc_id"), "n_shingles", real("least").alias("component_id"))
+    rows = out.withColumn("least", alone).select(_real("doc_id").alias("doc_id"), "n_shingles", _real("least").alias("component_id"), "class_id", "n_links")
+    return rows, links
 
 
 def one_of_each(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
