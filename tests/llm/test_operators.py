@@ -189,6 +189,12 @@ def test_all_links(spark, block):
     assert rows(joined, "doc_id", "n_shingles", "component_id") == components
 
 
+def test_texts_that_share_an_id_keep_their_links(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    out = [(1, a), (1, b), (1, c), (2, a + " end"), (3, b + " end"), (4, c + " end")]
+    assert rows(ngram_join.jaccard_components(frame(spark, out)), "doc_id", "component_id") == [(1, 1)] * 3 + [(2, 1), (3, 1), (4, 1)]
+
+
 def test_tree_walk():
     r = np.random.default_rng(2)
     for _ in range(30):
