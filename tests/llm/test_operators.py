@@ -114,6 +114,45 @@ def test_repeats_in_hostile_texts(spark, seed):
     assert rows(substring_dedup.remove_repeats(df), "doc_id", "n_words", "n_removed") == expected
 
 
+@pytest.mark.parametrize("max_kinds", [2, 4096])
+def test_large_groups_and_odd_ids(spark, max_kinds):
+    """A passage in many contexts, ids null, repeated, negative and the largest, equal texts without ids."""
+    r = random.Random(6)
+    passage = [f"p{k}" for k in range(70)]
+    ids = [2**63 - 1, None, None, -5, 2**62 + 5, 7, 7, None, 0] + list(range(100, 130))
+    texts = [" ".join([f"a{k}-{j}" for j in range(r.randrange(30))] + passage[: r.randrange(48, 71)] + [f"b{k}-{j}" for j in range(40)]) for k in range(len(ids))]
+    texts[2] = texts[1]
+    rows_ = list(zip(ids, texts))
+    order = lambda i: (i is None, i or 0)
+    lists = [(order(i), WORD.findall(t.encode())) for i, t in rows_]
+    expected = collections.Counter((i, len(u), len(g)) for (i, _), (_, u, g) in zip(rows_, windows_removed(lists, 50, lambda found, i: min(found)[0] < i[0] or min(found)[:1] == i[:1] == (False,) and min(found) < i)))
+    got = collections.Counter((x.doc_id, x.n_words, x.n_removed) for x in substring_dedup.remove_repeats(frame(spark, rows_), max_kinds=max_kinds).collect())
+    assert got == expected and any(n for _, _, n in got)
+    raw = [(k, t.encode()) for k, (_, t) in enumerate(rows_)]
+    expected = collections.Counter((ids[k], len(u), len(g), spans(g)) for k, u, g in windows_removed(raw, 150, lambda found, i: len(found) > 1))
+    out = suffix_dedup.remove_repeats(frame(spark, rows_), length=150, keep_first=False, max_kinds=max_kinds)
+    assert collections.Counter((x.doc_id, x.n_bytes, x.n_removed, x.n_spans) for x in out.collect()) == expected
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_factors_of_partitions(seed):
+    r = random.Random(seed)
+    n = 60
+    lcp = np.array([-1 if k == 0 or r.random() < 0.1 else r.randrange(6) for k in range(n)])
+    place = np.array(r.sample(range(1000), n))
+    shared = lambda a, b: -1 if (lcp[a + 1 : b + 1] < 0).any() else int(lcp[a + 1 : b + 1].min())
+    previous, following = suffix_dedup.factors(lcp, place)
+    for k in range(n):
+        others = [(place[j], shared(min(j, k), max(j, k))) for j in range(n) if j != k]
+        assert previous[k] == max([0, *(m for p, m in others if p < place[k])])
+        assert following[k] == max([0, *(m for p, m in others if p > place[k])])
+    first, leaves, depth = substring_dedup.deep_nodes(lcp, 3)
+    inside = {j for a, m in zip(first, leaves) for j in range(a, a + m)}
+    assert inside == {j for j in range(n) if lcp[j] >= 3 or j + 1 < n and lcp[j + 1] >= 3}
+    assert all(d == shared(a, a + m - 1) for a, m, d in zip(first, leaves, depth))
+    assert (np.maximum(previous, following) >= 3).tolist() == suffix_dedup.matched_elsewhere(lcp, place, 3).tolist()
+
+
 @pytest.mark.parametrize("text", [b"", b"a", b"aaaaaa", b"banana", b"abracadabra", bytes(random.Random(1).choices(b"ab", k=80))])
 def test_longest_previous_factors(text):
     n = len(text)

@@ -15,12 +15,14 @@ _local_shared: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is missing (single-machine tests) a temporary folder of
-    this process stands in for it.
+    Only where the setting is missing and everything runs in one process (tests) a
+    temporary folder of this process stands in for it; elsewhere that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _local_shared:
         _local_shared.append(tempfile.mkdtemp(prefix="tracewright-"))
     return _local_shared[0]
@@ -50,6 +52,24 @@ def release(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", hot_rows: int = 1000, hot_keys: int = 10_000) -> DataFrame:
+    """``left`` with the row of ``right`` that has its key; ``right`` has a key once at most.
+
+    Keys of very many rows of ``left`` would each fill a task. Of n rows at most
+    ``hot_keys`` keys can have more than n / hot_keys, so those keys' rows of ``right`` are
+    few whatever the data and are sent to all tasks. Both sides are read twice, so they
+    should be written tables or cheap.
+    """
+    most = max(hot_rows, left.count() // hot_keys)
+    hot = left.groupBy(*on).count().where(F.col("count") > most).select(*on)
+    if not hot.take(1):
+        return left.join(right, on, how)
+    hot, _ = materialize(hot, "hot-keys")
+    many = left.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(right.join(F.broadcast(hot), on, "left_semi")), on, how)
+    few = left.join(F.broadcast(hot), on, "left_anti").join(right, on, how)
+    return few.unionByName(many)
+
+
 _memo: list = [None, None]
 
 

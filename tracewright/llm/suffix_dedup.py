@@ -5,12 +5,13 @@ corpus. With ``keep_first`` the strings of the first document that has them stay
 without it every occurrence goes. Strings are judged on the input and never cross
 documents.
 
-In suffix order, the suffixes that share their first ``length`` bytes are a run of
-neighbours. A suffix's longest previous factor reaches ``length`` if the run holds a
-smaller position, which is what its previous or next smaller position in suffix order
-tells; its longest next factor mirrors that with larger positions. ``previous_factors``
-is the array itself, for one text; the corpus is worked off by anchors in batches
-(see ``repeats``), where both arrays are cut off at ``length``.
+In suffix order, the longest earlier match of a suffix is with the nearest neighbour on
+either side whose position is smaller: its previous and next smaller positions. The longer
+of the two common prefixes is its longest previous factor. With larger positions instead,
+the same gives its longest next factor, the longest match that comes later. A string of
+``length`` bytes starts elsewhere too if one of the two factors is that long. The corpus's
+suffix order is made in partitions (see ``repeats``); ``factors`` reads both arrays off
+each of them, and ``previous_factors`` off a whole text.
 
 Defined cases: null texts are empty; a null id is larger than any other; repeated rows
 repeat each other's strings; texts shorter than ``length`` bytes are unchanged; an empty
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .repeats import NO_ID, Bytes, equal_windows, keyed, repeated_windows
+from .repeats import KEY, MAX_KINDS, Bytes, keyed, repeated_windows, spans_of
 from .substring_dedup import covered
 
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -66,49 +67,83 @@ def suffix_array(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return order, lcp
 
 
-def previous_factors(text: bytes) -> np.ndarray:
-    """LPF: for each position the longest match that starts earlier.
+def _nearest(place: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """Common prefix of each entry with the nearest one before it of a smaller ``place``, or -1.
+
+    ``at`` is a candidate that all entries between it and its own exceed. One that is not
+    smaller hands on its own candidate, so the steps double and a few rounds do.
+    """
+    n = len(place)
+    at = np.arange(n) - 1
+    least = lcp.copy()  # of all between the candidate and the entry
+    open_ = np.flatnonzero((least >= 0) & (at >= 0))
+    open_ = open_[place[at[open_]] > place[open_]]
+    while len(open_):
+        hop = at[open_]
+        shared = np.minimum(least[open_], least[hop])
+        at[open_], least[open_] = at[hop], shared
+        open_ = open_[(shared >= 0) & (at[open_] >= 0)]
+        open_ = open_[place[at[open_]] > place[open_]]
+    return np.where(at >= 0, least, -1)
+
+
+def factors(lcp: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Longest previous and longest next factor of each suffix of a suffix order.
+
+    ``lcp`` is each one's common prefix with the one before, -1 where a partition begins;
+    ``place`` the positions of the suffixes in the text or corpus, all different.
+    """
+    ahead = np.append(lcp[1:], -1)[::-1]  # the same order read from its end
+    back, mirrored = place[::-1], -place
+    previous = np.maximum(_nearest(place, lcp), _nearest(back, ahead)[::-1])
+    following = np.maximum(_nearest(mirrored, lcp), _nearest(mirrored[::-1], ahead)[::-1])
+    return np.maximum(previous, 0), np.maximum(following, 0)
+
 
-    One pass with a stack finds each entry's previous and next smaller position in suffix
-    order, and with them the two candidate matches.
+def matched_elsewhere(lcp: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
+    """Whether the longest previous or next factor of a suffix reaches ``length``.
+
+    Suffixes that share less with both neighbours have shorter factors and are left out.
     """
+    deep = lcp >= length
+    near = np.flatnonzero(deep | np.append(deep[1:], False))
+    out = np.zeros(len(lcp), bool)
+    if len(near):
+        previous, following = factors(np.where(deep[near], lcp[near], -1), place[near])
+        out[near] = np.maximum(previous, following) >= length
+    return out
+
+
+def previous_factors(text: bytes) -> np.ndarray:
+    """LPF: for each position the longest match that starts earlier."""
     order, lcp = suffix_array(text)
-    n = len(order)
-    out = np.zeros(n, np.int64)
-    stack: list[tuple[int, int]] = []  # position, common prefix with the entry below it
-    for r in range(n + 1):
-        at, shared = (int(order[r]), int(lcp[r])) if r < n else (-1, 0)
-        while stack and stack[-1][0] > at:
-            p, with_previous = stack.pop()
-            out[p] = max(with_previous, shared)  # previous smaller below, next smaller is ``at``
-            shared = min(shared, with_previous)
-        stack.append((at, shared))
+    out = np.zeros(len(order), np.int64)
+    if len(order):
+        lcp[0] = -1
+        out[order] = factors(lcp, order)[0]
     return out
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for kid, raw, spans in zip(*(batch.column(c).to_pylist() for c in range(3))):
-            if spans:
-                gone = covered(len(raw), [(s["start"], s["size"]) for s in spans])
+        for noid, kid, raw, packed in zip(*(batch.column(c).to_pylist() for c in range(4))):
+            if packed:
+                gone = covered(len(raw), spans_of(packed))
                 n_spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                 kept, n_gone = np.frombuffer(raw, np.uint8)[~gone].tobytes(), int(gone.sum())
             else:
                 kept, n_gone, n_spans = raw, 0, 0
-            out.append((None if kid == NO_ID else kid, len(raw), n_gone, n_spans, hashlib.sha256(kept).hexdigest(), kept))
+            out.append((None if noid else kid, len(raw), n_gone, n_spans, hashlib.sha256(kept).hexdigest(), kept))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 6, kinds)], names=[x.split()[0] for x in _OUT.split(", ")])
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = True, max_kinds: int = MAX_KINDS) -> DataFrame:
     """doc_id, counts, and the bytes of each row that are left."""
     rows = keyed(docs)
-    found = repeated_windows(rows, Bytes, length, equal_windows)
-    if keep_first:
-        found = found.where(F.col("least") < F.col("kid"))
-    spans = found.groupBy("kid", "kh").agg(F.collect_set(F.struct("start", (F.col("windows") + length - 1).alias("size"))).alias("spans"))
-    return rows.join(spans, ["kid", "kh"], "left").select("kid", "text", "spans").mapInArrow(_remove, _OUT)
+    spans, _ = repeated_windows(rows, Bytes, length, matched_elsewhere, earlier=keep_first, max_kinds=max_kinds)
+    return rows.join(spans, KEY, "left").select("noid", "kid", "text", "spans").mapInArrow(_remove, _OUT)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
