@@ -22,6 +22,8 @@ window length, in how they read a suffix order, and in what they remove.
    combined by aggregation before they travel.
 5. The windows' spans go back to all places of a kind, and from there to their documents.
 
+Joins are by shuffle and merge at every size: both sides grow with the input.
+
 Sizes: step 2 moves a row for half a window of text; a task of step 3 holds at most
 ``max_kinds`` contents of one anchor and a batch of smaller groups.
 """
@@ -49,7 +51,7 @@ _RUNS = "ah long, sh long, runs array<struct<j:int,len:int,noid:boolean,kid:long
 _SPANS = "noid boolean, kid long, kh long, spans binary"
 _PLACE = np.dtype([("noid", "?"), ("kid", "<i8"), ("kh", "<i8"), ("s0", "<i4")])
 _BATCH = 200_000  # segments that are combined at once
-MAX_KINDS = 4096
+MAX_KINDS = 1000
 
 
 def _names(schema: str) -> list[str]:
@@ -397,12 +399,12 @@ def repeated_windows(rows: DataFrame, unit, length: int, read: Callable, earlier
     met, met_path = materialize(met.drop("times"), "shared-segments")
     # all occurrences are equal: every window of the segment is repeated
     whole = met.where("kinds = 1").withColumn("runs", F.array(F.struct(F.lit(0).alias("j"), F.col("ns").alias("len"), "least.noid", "least.kid")))
-    found = met.where("kinds > 1").join(_runs(rows, met, unit, length, read, max_kinds), ["ah", "sh"])
+    found = met.where("kinds > 1").join(_runs(rows, met, unit, length, read, max_kinds).hint("merge"), ["ah", "sh"])
     held = ["batch", "ah", "sh", "cnt", *KEY, "s0", "runs"]
     verdicts = whole.select(held).unionByName(found.select(held))
     more = segs.where("cnt > 1").select("batch", "ah", "sh", "more")
     alone = verdicts.where("cnt = 1").select(*KEY, "s0", F.lit(None).cast("binary").alias("more"), "runs")
-    copied = verdicts.where("cnt > 1").join(more, ["batch", "ah", "sh"]).select(*KEY, "s0", "more", "runs")
+    copied = verdicts.where("cnt > 1").join(more.hint("merge"), ["batch", "ah", "sh"]).select(*KEY, "s0", "more", "runs")
     spans = alone.unionByName(copied).mapInArrow(_spread(length, earlier), _SPANS)
     return spans.groupBy(*KEY).agg(F.collect_list("spans").alias("spans")), [segs_path, met_path]
 
@@ -413,7 +415,7 @@ def _runs(rows: DataFrame, met: DataFrame, unit, length: int, read: Callable, ma
 
     def fetched(which: str, function, schema: str) -> DataFrame:
         wanted = met.where(which).where("nth = 1").select(*KEY, place.alias("w")).groupBy(*KEY).agg(F.collect_list("w").alias("wanted"))
-        return rows.join(wanted, KEY).select(*KEY, "text", "wanted").mapInArrow(function, schema)
+        return rows.join(wanted.hint("merge"), KEY).select(*KEY, "text", "wanted").mapInArrow(function, schema)
 
     contents = fetched(f"kinds > 1 and kinds <= {max_kinds}", _fetch(unit, length), _KIND)
     runs = contents.repartition("ah").sortWithinPartitions("ah").mapInArrow(_resolve(unit, length, read), _RUNS)

@@ -91,7 +91,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_text: bool = True, ma
     """doc_id, counts, and what is left of each row's words, joined by one space."""
     rows = keyed(docs)
     spans, _ = repeated_windows(rows, Words, length, below_deep_nodes, earlier=True, max_kinds=max_kinds)
-    return rows.join(spans, KEY, "left").select("noid", "kid", "text", "spans").mapInArrow(_remove(with_text), _OUT)
+    return rows.join(spans.hint("merge"), KEY, "left").select("noid", "kid", "text", "spans").mapInArrow(_remove(with_text), _OUT)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,7 +143,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = True,
     """doc_id, counts, and the bytes of each row that are left."""
     rows = keyed(docs)
     spans, _ = repeated_windows(rows, Bytes, length, matched_elsewhere, earlier=keep_first, max_kinds=max_kinds)
-    return rows.join(spans, KEY, "left").select("noid", "kid", "text", "spans").mapInArrow(_remove, _OUT)
+    return rows.join(spans.hint("merge"), KEY, "left").select("noid", "kid", "text", "spans").mapInArrow(_remove, _OUT)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
