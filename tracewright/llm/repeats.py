@@ -51,7 +51,7 @@ _RUNS = "ah long, sh long, runs array<struct<j:int,len:int,noid:boolean,kid:long
 _SPANS = "noid boolean, kid long, kh long, spans binary"
 _PLACE = np.dtype([("noid", "?"), ("kid", "<i8"), ("kh", "<i8"), ("s0", "<i4")])
 _BATCH = 200_000  # segments that are combined at once
-MAX_KINDS = 1000
+MAX_KINDS = 20_000  #: contexts of one anchor that a task takes, of at most two windows' length each
 
 
 def _names(schema: str) -> list[str]:
