@@ -422,9 +422,13 @@ def exact():
 def test_encoder_equals_the_library(exact, docs):
     enc = tokens.PieceEncoder(memo_entries=500)
     texts = [t for _, t in docs] + ["", " ", "  ", "a  b", " a", "a ", "a\n b", "a \nb", "a\t b  \n", "<|endoftext|> x", "a <|endoftext|>b", "it's 1234 €5", "日本 語", "x\0y z", "a\u00a0b c", "\n\n a", None]
+    texts += ["word.\nNext", "αβcd efγ x", "don't 'twas rock'n'roll we'll", "a1b2 x_y ª º½ cafe\u0301 naïve² ß×ø÷", "e.g. (so) -- [it] é.è,É", "ab\n\nCd\n\n ef", "x\u2028y zǆa Ⅳa", "A" * 50_000]
     for k in range(0, len(texts), 50):
         part = texts[k : k + 50]
-        assert enc.encode(part) == [np.array(exact.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in part]
+        ids, offsets = enc.encode(part, 7)
+        expected = [[*exact.encode(t or "", add_special_tokens=False).ids, 7] for t in part]
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == expected
+    assert len(enc.numbers) <= 500 and enc.encode([])[0].tolist() == []
 
 
 @pytest.mark.parametrize("values", [[], [0], [0, 0, 0], [5], [1, 1, 2, 300, 300, 10**12], list(range(1000)), sorted(random.Random(1).choices(range(10**6), k=777))])
@@ -434,6 +438,9 @@ def test_elias_fano(values):
     assert back.all().tolist() == values and [back.select(i) for i in range(len(values))] == values
     with pytest.raises(IndexError):
         back.select(len(values))
+    for a in range(0, len(values), 37):
+        for b in {a + 1, min(len(values), a + 64), len(values)}:
+            assert back.select_many(a, b).tolist() == values[a:b]
     if len(values) > 100:
         assert len(ef.low) + len(ef.high) <= len(values) * (2 + np.log2(max(values) / len(values) + 1) + 1) / 8 + 16
 
@@ -477,6 +484,22 @@ def test_op9(spark, docs, exact):
     assert check_pieces(queries.QUERIES["op9_packing"](spark, SF).collect(), ids) < 0.02
 
 
+def test_copies_are_dealt_over_groups_and_ranges(spark):
+    """Equal rows without an id, and a repeated id, don't meet in one task."""
+    df = frame(spark, [(None, "same words")] * 600 + [(5, "other words")] * 600 + [(k, f"text {k}") for k in range(100, 200)]).repartition(3)
+    pieces = packing.pack_documents(df, tokens.vocabulary_path(), group_docs=130).collect()
+    groups = collections.Counter(r.sequence_id >> 32 for r in pieces if r.doc_id is None)
+    assert len(groups) >= 9 and max(groups.values()) < 150
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/copies"
+    varied = df.selectExpr("doc_id", "concat(text, ' ', cast(monotonically_increasing_id() % 50 as string)) as text")
+    binary_output.write_token_dataset(varied, path, tokens.vocabulary_path(), block_ids=100)
+    blocks = spark.read.parquet(path).groupBy("part").sum("n_docs").collect()
+    assert sum(r[1] for r in blocks) == 1300 and max(r[1] for r in blocks) < 500
+    index = sorted(binary_output.document_index(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in index] == [None] * 600 + [5] * 600 + list(range(100, 200))
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(index, index[1:]))
+
+
 def test_first_fit_decreasing():
     r = random.Random(2)
     sizes = [r.randrange(1, 100) for _ in range(200)]

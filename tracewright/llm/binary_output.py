@@ -7,9 +7,9 @@ monotone sequences in Elias-Fano form: the documents' end offsets and their ids.
 take about ``2 + log2(universe / n)`` bits an entry; a sampled select directory answers
 "where does document i start" without decoding the block and without a 64-bit table.
 
-Defined cases: null text counts as empty and has the end id alone; null ``doc_id`` comes
-first, in a block of its own; repeated ids are kept, ordered by their ids' bytes; an
-empty table gives an empty dataset. Other columns are ignored.
+Defined cases: null text counts as empty and has the end id alone; rows with a null
+``doc_id`` come first, in blocks of their own; repeated ids are kept one after the other,
+in any order; an empty table gives an empty dataset. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -66,6 +66,22 @@ class EliasFano:
         low = sum((int(self.low[(at + b) // 8]) >> ((at + b) % 8) & 1) << b for b in range(self.low_bits))
         return (bit - i) << self.low_bits | low
 
+    def select_many(self, a: int, b: int) -> np.ndarray:
+        """Values ``a`` to ``b - 1``: the bits from the mark before the first on, no others."""
+        if not 0 <= a < b <= self.n:
+            raise IndexError((a, b))
+        mark, after = a // SELECT_EVERY, -(-b // SELECT_EVERY)
+        start = int(self.marks[mark]) // 8
+        end = int(self.marks[after]) // 8 + 1 if after < len(self.marks) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[start:end], bitorder="little")) + 8 * start
+        ones = ones[ones >= self.marks[mark]][a - mark * SELECT_EVERY :][: b - a]
+        out = (ones - np.arange(a, b)).astype(np.uint64) << np.uint64(self.low_bits)
+        if self.low_bits:
+            first = a * self.low_bits
+            bits = np.unpackbits(self.low[first // 8 : -(-b * self.low_bits // 8)], bitorder="little")[first % 8 :][: (b - a) * self.low_bits]
+            out |= (bits.reshape(b - a, self.low_bits).astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        return out
+
     def all(self) -> np.ndarray:
         high = np.flatnonzero(np.unpackbits(self.high, bitorder="little")) - np.arange(self.n)
         out = high.astype(np.uint64) << np.uint64(self.low_bits)
@@ -122,20 +138,23 @@ class Block:
         return struct.pack("<4sBBq", MAGIC, width, null_ids, least) + EliasFano.build(ends).to_bytes() + EliasFano.build(keys).to_bytes() + b"".join(ids)
 
 
-def _encode(path: str, end_id: int, bounds: list[int]):
+def _encode(path: str, end_id: int, bounds: list[int], null_parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, edges = encoder(path), np.array(bounds, dtype=np.int64)
         width = 2 if max(enc.vocab_size - 1, end_id) < 2**16 else 4
-        tail = np.array([end_id], dtype=f"<u{width}").tobytes()
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
-                ids = part.column(0).to_pylist()
-                raw = enc.encode(part.column(1).to_pylist())
-                if width == 2:
-                    raw = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in raw]
-                to = [0 if i is None else int(p) for i, p in zip(ids, np.searchsorted(edges, [i or 0 for i in ids], side="left"))]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(to, pa.int32()), pa.array([x + tail for x in raw], pa.binary()), pa.array([width] * len(ids), pa.int32())], names=["doc_id", "part", "ids", "width"])
+                ids, drawn = part.column(0), part.column(2).to_numpy().view(np.uint64)
+                flat, offsets = enc.encode(part.column(1).to_pylist(), end_id)
+                known = ids.fill_null(0).to_numpy()
+                low, high = np.searchsorted(edges, known, side="left"), np.searchsorted(edges, known, side="right")
+                # an id that is the bound of several ranges is dealt over all of them
+                to = null_parts + low + (drawn % np.maximum(high - low, 1).astype(np.uint64)).astype(np.int64)
+                to = np.where(ids.is_null().to_numpy(zero_copy_only=False), (drawn % np.uint64(max(null_parts, 1))).astype(np.int64), to)
+                raw = pa.py_buffer(flat.astype(f"<u{width}"))
+                binary = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer((offsets * width).astype(np.int32)), raw])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(to.astype(np.int32)), binary, pa.array(np.full(len(ids), width, np.int32))], names=["doc_id", "part", "ids", "width"])
 
     return run
 
@@ -172,18 +191,22 @@ def write_token_dataset(docs: DataFrame, path: str, vocabulary: str, end_id: int
     """Encode ``docs(doc_id, text)`` and write blocks of about ``block_ids`` ids.
 
     Texts are encoded where they lie; only ids are dealt out, by ranges of ``doc_id``
-    whose bounds are quantiles of that column alone. Each range is one task's block run,
-    so its blocks hold one bounded group of documents at a time in memory.
+    whose bounds are quantiles of that column alone. An id that fills several ranges and
+    the rows without an id are dealt over as many as they need. Each range is one task's
+    block run, so its blocks hold one bounded group of documents at a time in memory.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     n = shuffle_partitions(spark)
-    bounds = docs.select(F.col("doc_id").cast("long")).approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    total, given = rows.agg(F.count("*"), F.count("doc_id")).first()
+    null_parts = -(-n * (total - given) // total) if total else 0
+    bounds = rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n) if n > 1 and given else []
     (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .mapInArrow(_encode(vocabulary, end_id, sorted({int(b) for b in bounds})), "doc_id long, part int, ids binary, width int")
-        .repartitionById(n, F.col("part"))
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+        rows.select("doc_id", "text", F.xxhash64("text").alias("drawn"))
+        .mapInArrow(_encode(vocabulary, end_id, sorted(int(b) for b in bounds), null_parts), "doc_id long, part int, ids binary, width int")
+        .repartitionById(n + null_parts, F.col("part"))
+        .sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
         .mapInArrow(_blocks(block_ids), "part int, seq long, base long, n_docs long, n_ids long, payload binary")
         .write.parquet(path)
     )
@@ -204,12 +227,15 @@ def read_token_dataset(spark: SparkSession, path: str) -> DataFrame:
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            block = Block(raw)
-            ends = block.ends.all().astype(np.int64)
-            starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-            crc = [zlib.crc32(block.tokens[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist())]
-            ids = [None] * len(block) if block.null_ids else (block.ids_of_docs.all().astype(np.int64) + block.least).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts + first), pa.array(ends - starts), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            block, before = Block(raw), 0
+            for a in range(0, len(block), 8 * SELECT_EVERY):
+                b = min(len(block), a + 8 * SELECT_EVERY)
+                ends = block.ends.select_many(a, b).astype(np.int64)
+                starts = np.concatenate([[before], ends[:-1]]).astype(np.int64)
+                before = int(ends[-1])
+                crc = [zlib.crc32(block.tokens[i:j].astype("<u4")) for i, j in zip(starts.tolist(), ends.tolist())]
+                ids = [None] * (b - a) if block.null_ids else block.ids_of_docs.select_many(a, b).view(np.int64) + block.least
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts + first), pa.array(ends - starts), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def document_index(spark: SparkSession, path: str) -> DataFrame:

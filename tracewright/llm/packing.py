@@ -16,18 +16,22 @@ columns are ignored.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .anchors import mix
 from .common import bounded_batches, table
-from .tokens import encoder, vocabulary_path
+from .tokens import cut_out, encoder, vocabulary_path
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = [x.split()[0] for x in PIECES.split(", ")]
+_SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
 class FirstFit:
@@ -89,21 +93,31 @@ def pack_group(sizes: list[int], capacity: int, full_enough: float) -> list[list
     return out
 
 
-def _encode(path: str, end_id: int, size: int):
+def _encode(path: str, end_id: int, size: int, groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        small = max(enc.vocab_size - 1, end_id) < 2**16
-        tail = np.array([end_id], dtype="<u4").tobytes()
+        width = 2 if max(enc.vocab_size - 1, end_id) < 2**16 else 4
+        task = TaskContext.get().partitionId() if TaskContext.get() else 0
+        copies: Counter[int] = Counter()
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
-                raw = [x + tail for x in enc.encode(part.column(1).to_pylist())]
-                n = [len(x) // 4 for x in raw]
-                crcs = [[zlib.crc32(x[4 * a : 4 * (a + size)]) for a in range(0, m - m % size, size)] for x, m in zip(raw, n)]
-                rest = [x[4 * (m - m % size) :] for x, m in zip(raw, n)]
-                if small:
-                    rest = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in rest]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rest, pa.binary()), pa.array([2 if small else 4] * len(n), pa.int32())], names=["doc_id", "grp", "n", "crcs", "tail", "width"])
+                ids, offsets = enc.encode(part.column(1).to_pylist(), end_id)
+                n = np.diff(offsets)
+                raw = memoryview(ids.astype("<u4").tobytes())
+                crcs = [[zlib.crc32(raw[4 * c : 4 * (c + size)]) for c in range(a, b - size + 1, size)] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                rest = n % size
+                tails = cut_out(ids, offsets[1:] - rest, rest).astype(f"<u{width}")
+                edges = np.concatenate([[0], np.cumsum(rest * width)]).astype(np.int32)
+                binary = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(edges), pa.py_buffer(tails)])
+                # equal rows can't be told apart, so it's all the same which is counted first
+                nth = []
+                for h in part.column(2).to_pylist():
+                    nth.append(copies[h])
+                    copies[h] += 1
+                drawn = mix(part.column(2).to_numpy().view(np.uint64) + np.array(nth, np.uint64) * _SPREAD[0] + np.uint64(task) * _SPREAD[1])
+                grp = (drawn % np.uint64(groups)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(grp), pa.array(n), pa.array(crcs, pa.list_(pa.int64())), binary, pa.array(np.full(len(n), width, np.int32))], names=["doc_id", "grp", "n", "crcs", "tail", "width"])
 
     return run
 
@@ -134,16 +148,17 @@ def _pack(size: int, full_enough: float):
 def pack_documents(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 1, group_docs: int = 1024, full_enough: float = 0.97, seed: int = 17) -> DataFrame:
     """Pieces of every document with the sequence and offset they are packed at.
 
-    The groups are drawn by a hash of id and text, so they are random, even and the same
-    in every run. Only tails travel (at most ``2 * size`` bytes a document) with one
-    checksum for each full piece.
+    The groups are drawn by a hash of id, text, task and how many equal rows the task had
+    before, so they are random and even, also among copies, and the same if a task runs
+    again. Only tails travel (at most ``2 * size`` bytes a document) with one checksum for
+    each full piece.
     """
     bounded_batches(docs.sparkSession)
     groups = max(1, -(-docs.count() // group_docs))
-    grp = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), F.lit(groups)).alias("grp")
+    drawn = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("drawn")
     return (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", grp)
-        .mapInArrow(_encode(vocabulary, end_id, size), "doc_id long, grp long, n long, crcs array<long>, tail binary, width int")
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", drawn)
+        .mapInArrow(_encode(vocabulary, end_id, size, groups), "doc_id long, grp long, n long, crcs array<long>, tail binary, width int")
         .groupBy("grp")
         .applyInArrow(_pack(size, full_enough), PIECES)
     )

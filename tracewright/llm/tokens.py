@@ -1,8 +1,9 @@
-"""Byte-level BPE ids for batches of texts, with a bounded memo of space-led pieces."""
+"""Byte-level BPE ids for batches of texts, with a bounded memo of their pieces."""
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable
 
 import numpy as np
@@ -12,6 +13,9 @@ from .common import process_memo
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 #: Entries of the memo; about 200 bytes each.
 MEMO_ENTRIES = 400_000
+#: A run of Latin letters, with the space before it, or all up to the next space. No other
+#: letter may follow the run, so the pre-tokenizer cuts there too.
+_PIECE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]++(?![^\W\d_])| ?[^ ]+")
 
 
 def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
@@ -21,12 +25,30 @@ def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+class _Numbers(dict):
+    """Pieces by number; a new piece gets the next one and waits for its ids."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.next = 0
+        self.waiting: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        n = self.next
+        self[piece] = n
+        self.next = n + 1
+        self.waiting.append(piece)
+        return n
+
+
 class PieceEncoder:
-    """Encodes texts with a ``tokenizers`` vocabulary; returns little-endian uint32 bytes.
+    """Encodes texts with a ``tokenizers`` vocabulary.
 
     The pre-tokenizer of byte-level BPE starts a new token at every single space that
-    follows and precedes other characters, so a text may be cut before such spaces and
-    each piece encoded alone, with the same ids. Equal pieces are encoded once. Texts
+    follows and precedes other characters, and where a run of letters ends, so a text may
+    be cut there and each piece encoded alone, with the same ids. Each piece has a number,
+    and its ids lie at that number's place in one array, so a batch is one look-up a piece
+    and one gather. When there are too many pieces the less used half is forgotten. Texts
     with runs of spaces, spaces at their ends or a special token's ``<|`` are encoded
     whole. Empty texts have no ids.
     """
@@ -36,60 +58,105 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or vocabulary_path())
-        self.memo: dict[str, bytes] = {}
         self.memo_entries = memo_entries
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.leads = np.zeros(size, dtype=bool)  # ids whose token starts with a space
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.leads[i] = token.startswith("Ġ")
         self.vocab_size = size
+        self.numbers = _Numbers()
+        self.ids = np.zeros(0, np.uint32)  # of all pieces, one after the other
+        self.sizes = np.zeros(0, np.int64)  # by number, as is the next
+        self.uses = np.zeros(0, np.int64)
 
-    def _direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]  # without offsets
+    def _direct(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]  # without offsets
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
+    def _pieces(self, pieces: list[str]) -> list[np.ndarray]:
         """Encode pieces that start with their only space, many to a text."""
-        out: list[bytes] = []
+        out: list[np.ndarray] = []
         parts = [pieces[k : k + 256] for k in range(0, len(pieces), 256)]
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False)):
-            ids = np.array(e.ids, dtype="<u4")
+        for part, ids in zip(parts, self._direct(["".join(p) for p in parts])):
             cuts = np.flatnonzero(self.leads[ids])
-            if len(cuts) != len(part) or (len(cuts) and cuts[0]):
+            if len(cuts) == len(part) and not cuts[0]:
+                out += np.split(ids, cuts[1:])
+            else:
                 out += self._direct(part)
-                continue
-            raw, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
-            out += [raw[a:b] for a, b in zip(ends, ends[1:])]
         return out
 
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        texts = [t or "" for t in texts]
-        out: list[bytes | None] = [None] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
-        whole: list[int] = []
-        for i, t in enumerate(texts):
-            if "  " in t or "<|" in t or "\0" in t or t[:1] == " " or t[-1:] == " ":
-                whole.append(i)
-            elif t:
-                cut.append((i, t.replace(" ", "\0 ").split("\0")))
+    def _ids_of(self, pieces: list[str]) -> list[np.ndarray]:
+        led = [k for k, p in enumerate(pieces) if p[0] == " "]
+        heads = [k for k, p in enumerate(pieces) if p[0] != " "]
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(pieces)
+        for at, found in ((led, self._pieces([pieces[k] for k in led])), (heads, self._direct([pieces[k] for k in heads]))):
+            for k, ids in zip(at, found):
+                out[k] = ids
+        return out
+
+    def _forget(self) -> None:
+        """Keep the more used half of the pieces."""
+        first = np.cumsum(self.sizes) - self.sizes
+        keep = np.zeros(len(self.sizes), bool)
+        keep[np.argsort(-self.uses, kind="stable")[: self.memo_entries // 2]] = True
+        self.ids = self.ids[np.repeat(keep, self.sizes)]
+        new = (np.cumsum(keep) - 1).tolist()
+        kept = [(p, new[n]) for p, n in self.numbers.items() if keep[n]]
+        self.numbers = _Numbers()
+        self.numbers.update(kept)
+        self.numbers.next = len(kept)
+        self.sizes, self.uses = self.sizes[keep], self.uses[keep] // 2
+
+    def encode(self, texts: Iterable[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of ``texts`` in one array, and the offsets of each text's in it.
+
+        ``end`` is an id after each text.
+        """
+        numbers, find = self.numbers, _PIECE.findall
+        number: list[int] = []
+        counts: list[int] = []
+        whole: list[tuple[int, str]] = []
+        for t in texts:
+            t = t or ""
+            before = len(number)
+            if "  " in t or "<|" in t or t[:1] == " " or t[-1:] == " ":
+                whole.append((before, t))
+                number.append(0)  # its place
             else:
-                out[i] = b""
-        for i, e in zip(whole, self._direct([texts[i] for i in whole])):
-            out[i] = e
-        memo = self.memo
-        missing = set().union(*(p for _, p in cut)).difference(memo) if cut else set()
-        led = [p for p in missing if p[0] == " "]
-        heads = [p for p in missing if p[0] != " "]
-        found = dict(zip(led, self._pieces(led)))
-        found.update(zip(heads, self._direct(heads)))
-        memo.update(found)
-        for i, pieces in cut:
-            out[i] = b"".join(map(memo.__getitem__, pieces))
-        if (over := len(memo) - self.memo_entries) > 0:  # frequent pieces came first
-            for p in list(found)[-over:]:
-                del memo[p]
-        return out  # type: ignore[return-value]
+                number.extend(map(numbers.__getitem__, find(t)))
+            if end is not None:
+                number.append(-1)
+            counts.append(len(number) - before)
+        if numbers.waiting:
+            found = self._ids_of(numbers.waiting)
+            numbers.waiting = []
+            self.ids = np.concatenate([self.ids, *found])
+            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, found), np.int64, len(found))])
+            self.uses = np.concatenate([self.uses, np.zeros(len(found), np.int64)])
+        at = np.array(number, np.int64)
+        alone = self._direct([t for _, t in whole])
+        known = len(self.sizes)
+        at[[k for k, _ in whole]] = known + np.arange(len(whole))
+        at[at < 0] = known + len(whole)
+        ends = np.array([] if end is None else [end], np.uint32)
+        store = np.concatenate([self.ids, *alone, ends])
+        size = np.concatenate([self.sizes, np.array([len(x) for x in alone], np.int64), [len(ends)]]).astype(np.int64)
+        self.uses += np.bincount(at, minlength=known)[:known]
+        n = size[at]
+        first = (np.cumsum(size) - size)[at]
+        edges = np.concatenate([[0], np.cumsum(n)])
+        flat = store[np.repeat(first - edges[:-1], n) + np.arange(edges[-1])]
+        offsets = edges[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+        if len(numbers) > self.memo_entries:
+            self._forget()
+        return flat, offsets
 
 
 def encoder(path: str, memo_entries: int = MEMO_ENTRIES) -> PieceEncoder:
     """The encoder of this worker process."""
     return process_memo(("encoder", path, memo_entries), lambda: PieceEncoder(path, memo_entries))
+
+
+def cut_out(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``values[f : f + s]`` of all pairs, one after the other."""
+    before = np.cumsum(size) - size
+    return values[np.repeat(first - before, size) + np.arange(int(size.sum()))]
