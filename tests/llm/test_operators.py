@@ -6,6 +6,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tracewright.llm import binary_output, decontaminate, ngram_join, packing, pii, quality, queries, repeats, substring_dedup, suffix_dedup, tokens, toxicity, url_filter
@@ -425,10 +426,10 @@ def test_encoder_equals_the_library(exact, docs):
     texts += ["word.\nNext", "αβcd efγ x", "don't 'twas rock'n'roll we'll", "a1b2 x_y ª º½ cafe\u0301 naïve² ß×ø÷", "e.g. (so) -- [it] é.è,É", "ab\n\nCd\n\n ef", "x\u2028y zǆa Ⅳa", "A" * 50_000]
     for k in range(0, len(texts), 50):
         part = texts[k : k + 50]
-        ids, offsets = enc.encode(part, 7)
+        ids, offsets = enc.encode(pa.array(part, pa.string()), 7)
         expected = [[*exact.encode(t or "", add_special_tokens=False).ids, 7] for t in part]
         assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == expected
-    assert len(enc.numbers) <= 500 and enc.encode([])[0].tolist() == []
+    assert len(enc.numbers) <= 500 and enc.encode(pa.array([], pa.string()))[0].tolist() == []
 
 
 @pytest.mark.parametrize("values", [[], [0], [0, 0, 0], [5], [1, 1, 2, 300, 300, 10**12], list(range(1000)), sorted(random.Random(1).choices(range(10**6), k=777))])

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, new_path, process_memo, shuffle_partitions, table
-from .tokens import encoder, vocabulary_path
+from .tokens import BATCH_DOCS, encoder, vocabulary_path
 
 MAGIC = b"TWEF"
 SELECT_EVERY = 64
@@ -143,10 +143,10 @@ def _encode(path: str, end_id: int, bounds: list[int], null_parts: int):
         enc, edges = encoder(path), np.array(bounds, dtype=np.int64)
         width = 2 if max(enc.vocab_size - 1, end_id) < 2**16 else 4
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
+            for k in range(0, batch.num_rows, BATCH_DOCS):
+                part = batch.slice(k, BATCH_DOCS)
                 ids, drawn = part.column(0), part.column(2).to_numpy().view(np.uint64)
-                flat, offsets = enc.encode(part.column(1).to_pylist(), end_id)
+                flat, offsets = enc.encode(part.column(1), end_id)
                 known = ids.fill_null(0).to_numpy()
                 low, high = np.searchsorted(edges, known, side="left"), np.searchsorted(edges, known, side="right")
                 # an id that is the bound of several ranges is dealt over all of them

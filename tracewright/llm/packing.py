@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .anchors import mix
 from .common import bounded_batches, table
-from .tokens import cut_out, encoder, vocabulary_path
+from .tokens import BATCH_DOCS, cut_out, encoder, vocabulary_path
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = [x.split()[0] for x in PIECES.split(", ")]
@@ -100,9 +100,9 @@ def _encode(path: str, end_id: int, size: int, groups: int):
         task = TaskContext.get().partitionId() if TaskContext.get() else 0
         copies: Counter[int] = Counter()
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
-                ids, offsets = enc.encode(part.column(1).to_pylist(), end_id)
+            for k in range(0, batch.num_rows, BATCH_DOCS):
+                part = batch.slice(k, BATCH_DOCS)
+                ids, offsets = enc.encode(part.column(1), end_id)
                 n = np.diff(offsets)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 crcs = [[zlib.crc32(raw[4 * c : 4 * (c + size)]) for c in range(a, b - size + 1, size)] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import re
-from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import process_memo
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 #: Entries of the memo; about 200 bytes each.
 MEMO_ENTRIES = 400_000
-#: A run of Latin letters, with the space before it, or all up to the next space. No other
-#: letter may follow the run, so the pre-tokenizer cuts there too.
-_PIECE = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]++(?![^\W\d_])| ?[^ ]+")
+#: Texts that are encoded at once.
+BATCH_DOCS = 2000
+#: Further cuts: behind a run of letters, and around a line feed between two other characters.
+_CUTS = [("([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?\n])", "\\1 \0\\2"), ("([.,;:!?])\n([^\\s])", "\\1 \0\n \0\\2")]
 
 
 def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
@@ -26,31 +29,43 @@ def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
 
 
 class _Numbers(dict):
-    """Pieces by number; a new piece gets the next one and waits for its ids."""
+    """Words by number; a new one gets the next number and waits for its ids.
+
+    A key stands for the word with a space before it, or after a NUL for the rest alone.
+    """
 
     def __init__(self) -> None:
         super().__init__()
         self.next = 0
         self.waiting: list[str] = []
 
-    def __missing__(self, piece: str) -> int:
+    def __missing__(self, key: str) -> int:
         n = self.next
-        self[piece] = n
+        self[key] = n
         self.next = n + 1
-        self.waiting.append(piece)
+        self.waiting.append(key)
         return n
 
 
+def _cut(texts: pa.Array) -> pa.Array:
+    """Texts with a space where one may be cut; a NUL after it tells that there was none."""
+    led = pc.binary_join_element_wise("\0", texts, "")
+    for pattern, cut in _CUTS:
+        led = pc.replace_substring_regex(led, pattern=pattern, replacement=cut)
+    return led
+
+
 class PieceEncoder:
     """Encodes texts with a ``tokenizers`` vocabulary.
 
     The pre-tokenizer of byte-level BPE starts a new token at every single space that
     follows and precedes other characters, and where a run of letters ends, so a text may
-    be cut there and each piece encoded alone, with the same ids. Each piece has a number,
-    and its ids lie at that number's place in one array, so a batch is one look-up a piece
-    and one gather. When there are too many pieces the less used half is forgotten. Texts
-    with runs of spaces, spaces at their ends or a special token's ``<|`` are encoded
-    whole. Empty texts have no ids.
+    be cut there and each piece encoded alone, with the same ids. Arrow splits a batch's
+    texts at spaces and numbers their distinct words; each of those is looked up once, and
+    the ids of all words lie in one array by number, so the batch is one gather. When there
+    are too many words the less used half is forgotten. Texts with runs of spaces, spaces
+    at their ends, a NUL or a special token's ``<|`` are encoded whole. Empty texts have no
+    ids.
     """
 
     def __init__(self, path: str | None = None, memo_entries: int = MEMO_ENTRIES):
@@ -84,14 +99,17 @@ class PieceEncoder:
                 out += self._direct(part)
         return out
 
-    def _ids_of(self, pieces: list[str]) -> list[np.ndarray]:
-        led = [k for k, p in enumerate(pieces) if p[0] == " "]
-        heads = [k for k, p in enumerate(pieces) if p[0] != " "]
-        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(pieces)
-        for at, found in ((led, self._pieces([pieces[k] for k in led])), (heads, self._direct([pieces[k] for k in heads]))):
-            for k, ids in zip(at, found):
-                out[k] = ids
-        return out
+    def _learn(self) -> None:
+        """Ids of the words that wait."""
+        new = self.numbers.waiting
+        led = [k for k in new if k[:1] != "\0"]
+        rest = [k for k in new if k[:1] == "\0"]
+        found = dict(zip(led, self._pieces([f" {k}" for k in led])))
+        found.update(zip(rest, self._direct([k[1:] for k in rest])))
+        self.ids = np.concatenate([self.ids, *(found[k] for k in new)])
+        self.sizes = np.concatenate([self.sizes, np.fromiter((len(found[k]) for k in new), np.int64, len(new))])
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+        self.numbers.waiting = []
 
     def _forget(self) -> None:
         """Keep the more used half of the pieces."""
@@ -106,47 +124,37 @@ class PieceEncoder:
         self.numbers.next = len(kept)
         self.sizes, self.uses = self.sizes[keep], self.uses[keep] // 2
 
-    def encode(self, texts: Iterable[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``texts`` in one array, and the offsets of each text's in it.
 
         ``end`` is an id after each text.
         """
-        numbers, find = self.numbers, _PIECE.findall
-        number: list[int] = []
-        counts: list[int] = []
-        whole: list[tuple[int, str]] = []
-        for t in texts:
-            t = t or ""
-            before = len(number)
-            if "  " in t or "<|" in t or t[:1] == " " or t[-1:] == " ":
-                whole.append((before, t))
-                number.append(0)  # its place
-            else:
-                number.extend(map(numbers.__getitem__, find(t)))
-            if end is not None:
-                number.append(-1)
-            counts.append(len(number) - before)
-        if numbers.waiting:
-            found = self._ids_of(numbers.waiting)
-            numbers.waiting = []
-            self.ids = np.concatenate([self.ids, *found])
-            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, found), np.int64, len(found))])
-            self.uses = np.concatenate([self.uses, np.zeros(len(found), np.int64)])
-        at = np.array(number, np.int64)
-        alone = self._direct([t for _, t in whole])
+        texts = texts.fill_null("")
+        odd = functools.reduce(pc.or_, [pc.match_substring(texts, x) for x in ("  ", "<|", "\0")] + [pc.starts_with(texts, " "), pc.ends_with(texts, " ")])
+        lists = pc.split_pattern(_cut(pc.if_else(odd, "", texts)), " ")
+        edges = lists.offsets.to_numpy().astype(np.int64)
+        words = lists.flatten()
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        find = self.numbers.__getitem__
+        at = np.fromiter(map(find, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        if self.numbers.waiting:
+            self._learn()
         known = len(self.sizes)
-        at[[k for k, _ in whole]] = known + np.arange(len(whole))
-        at[at < 0] = known + len(whole)
+        self.uses += np.bincount(at, minlength=known)
+        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        alone = self._direct(texts.take(pa.array(whole)).to_pylist())
+        at[edges[:-1][whole]] = known + np.arange(len(whole))
+        if end is not None:
+            at = np.insert(at, edges[1:], known + len(whole))
+            edges = edges + np.arange(len(edges))
         ends = np.array([] if end is None else [end], np.uint32)
         store = np.concatenate([self.ids, *alone, ends])
-        size = np.concatenate([self.sizes, np.array([len(x) for x in alone], np.int64), [len(ends)]]).astype(np.int64)
-        self.uses += np.bincount(at, minlength=known)[:known]
+        size = np.concatenate([self.sizes, np.array([len(x) for x in alone], np.int64), [len(ends)]])
         n = size[at]
-        first = (np.cumsum(size) - size)[at]
-        edges = np.concatenate([[0], np.cumsum(n)])
-        flat = store[np.repeat(first - edges[:-1], n) + np.arange(edges[-1])]
-        offsets = edges[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
-        if len(numbers) > self.memo_entries:
+        flat = cut_out(store, (np.cumsum(size) - size)[at], n)
+        offsets = np.concatenate([[0], np.cumsum(n)])[edges]
+        if len(self.numbers) > self.memo_entries:
             self._forget()
         return flat, offsets
 
