@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from tracewright.llm.components import connected_components
 from tracewright.llm import binary_output, decontaminate, ngram_join, packing, pii, quality, queries, repeats, substring_dedup, suffix_dedup, tokens, toxicity, url_filter
 
 SF = "/root/testdata/sf0.001"
@@ -235,6 +236,37 @@ def test_texts_that_share_an_id_keep_their_links(spark):
     assert rows(ngram_join.jaccard_components(frame(spark, out)), "doc_id", "component_id") == [(1, 1)] * 3 + [(2, 1), (3, 1), (4, 1)]
 
 
+def test_any_id_is_an_id(spark):
+    """Ids near the ends of 64 bits, null ids; a document's row is never lost."""
+    out = [(2**62 + 5, "a b c d e f"), (2**63 - 1, "g h i j k l"), (-7, "m n o p q r"), (2**62, "a b c d e f"), (None, "a b c d e f"), (None, "x y z"), (None, "x y z"), (-(2**63), None), (2**62 + 9, "")]
+    got = rows(ngram_join.jaccard_components(frame(spark, out)), "doc_id", "component_id")
+    assert got == sorted([(2**62 + 5, 2**62), (2**63 - 1, 2**63 - 1), (-7, -7), (2**62, 2**62), (None, 2**62), (None, None), (None, None), (-(2**63), -(2**63)), (2**62 + 9, 2**62 + 9)], key=lambda r: tuple((v is None, v or 0) for v in r))
+    clash = frame(spark, out).selectExpr("*", "1 as _rank", "2 as noid", "3 as kh", "4 as row", "5 as least")
+    kept = ngram_join.one_of_each(clash)
+    assert kept.columns == clash.columns
+    assert rows(kept, "doc_id", "text") == sorted([(2**62, "a b c d e f"), (2**63 - 1, "g h i j k l"), (-7, "m n o p q r"), (None, "x y z"), (-(2**63), None), (2**62 + 9, "")], key=lambda r: tuple((v is None, v or 0 if k == 0 else v or "") for k, v in enumerate(r)))
+
+
+@pytest.mark.parametrize("few", [2, 1000])
+def test_boilerplate_in_otherwise_different_texts(spark, few):
+    """Frequent shingles in prefixes; a star of near copies; two sets that only frequent shingles link."""
+    r = random.Random(11)
+    phrases = [[f"p{j}-{k}" for k in range(8)] for j in range(6)]
+    out = [(i, " ".join(w for j in sorted(r.sample(range(6), 4)) for w in phrases[j]) + r.choice(["", f" own{i % 7}"])) for i in range(60)]
+    star = [f"s{k}" for k in range(80)]
+    out += [(100 + i, " ".join(star[:40] + ([f"v{i}"] if i else []) + star[40:])) for i in range(30)]
+    assert rows(ngram_join.jaccard_components(frame(spark, out), few=few), "doc_id", "n_shingles", "component_id") == components(out)
+
+
+def test_connected_components(spark):
+    r = random.Random(1)
+    edges = [(0, k) for k in range(1, 2500)] + [(k, k + 1) for k in range(3000, 3040)] + [(5000, 5000), (5001, 5002), (5002, 5001), (5001, 5002)]
+    r.shuffle(edges)
+    got = {x.node: x.component for x in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(2500)} | {k: 3000 for k in range(3000, 3041)} | {5001: 5001, 5002: 5001}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_tree_walk():
     r = np.random.default_rng(2)
     for _ in range(30):
@@ -539,7 +571,7 @@ def test_defined_cases(spark, values):
     joined = ngram_join.jaccard_components(df).collect()
     assert len(joined) == n and all(r.component_id == 1 for r in joined if r.doc_id in (1, 8)) and all(r.component_id is None for r in joined if r.doc_id is None)
     one = ngram_join.one_of_each(df)
-    assert sorted(r.doc_id for r in one.where("doc_id is not null").collect()) == ([1, 2, 3, 4, 5, 6, 7] if n else [])
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in one.collect()) == ([(False, i) for i in (1, 1, 2, 3, 4, 5, 6, 7)] + [(True, 0)] * 2 if n else [])
     pieces = packing.pack_documents(df, tokens.vocabulary_path()).collect()
     assert {r.doc_id for r in pieces} == {i for i, _ in values}
     path = f"{spark.conf.get('spark.checkpoint.dir')}/edge-{n}"

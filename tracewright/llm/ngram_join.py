@@ -20,7 +20,9 @@ sets of five-word shingles. ``jaccard_components`` gives each document's compone
 5. *The rest.* Only pairs from different components that share a prefix shingle, and pass
    the size and remaining-length bounds at it, are still open; they are verified the same
    way. Pairs inside a component are never formed, so a group of thousands of near copies
-   costs its stars. Components are then joined over all links.
+   costs its stars. Where a prefix shingle is in more than ``few`` such sets, pairs must
+   share another one soon after it as well (linked sets share two of prefixes one longer).
+   Components are then joined over all links.
 6. *All links* (``jaccard_join``). Both ends of a link are in one component, so the sets of
    a component are compared with each other, in pairs of blocks where it is large. Links
    are between classes of equal sets; the members of a class are linked by its class id.
@@ -31,15 +33,19 @@ soon as overlap plus remaining length can't reach the needed overlap.
 
 Memory: a bucket of about four million shingles, a batch, or a salted star. The one thing
 a bucket can't split is a single shingle's list, eight bytes for each class it is in.
+Shingles are compared by 48 bits of hash and those that name the bucket (56 at most from
+there on); two texts differ in far more shingles than collide.
 
 Defined cases: null and empty texts have the empty set and link with nothing; fewer than
-five words are one shingle; rows with one id count as linked with each other; a null id is
-never a representative and has a null component unless its set links to that of a row with
-an id; an empty table gives no rows; other columns are ignored.
+five words are one shingle; rows with one id and different texts are separate documents;
+a null id is never a representative and has a null component unless its set links to that
+of a row with an id; an empty table gives no rows; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
+import functools
 import struct
 from collections.abc import Iterator
 
@@ -50,13 +56,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .anchors import mix, word_hashes
-from .common import bounded_batches, materialize, release, shuffle_partitions, table
+from .common import bounded_batches, lookup, materialize, release, shuffle_partitions, table
 from .components import connected_components
 
-NO_ID = 1 << 62  #: documents without an id get internal ones from here on, by content
 _M1 = np.uint64(0x9E3779B97F4A7C15)
 _LOW56 = np.uint64((1 << 56) - 1)
 STAR = 500  # sets of a star that one task walks
+_MEMBER = np.dtype([("noid", "?"), ("id", "<i8"), ("kh", "<i8")])
 
 
 def shingle_set(raw: bytes, width: int = 5) -> np.ndarray:
@@ -97,7 +103,7 @@ def _shingle(bits: int, batch_docs: int, batch_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24
         seq = 0
-        ids: list[int] = []
+        ids: list[tuple] = []
         of: list[int] = []
         classes: dict[tuple[int, int, int], int] = {}
         sets: list[np.ndarray] = []
@@ -116,7 +122,7 @@ def _shingle(bits: int, batch_docs: int, batch_tokens: int):
             edges = np.searchsorted(bucket, np.arange((1 << bits) + 1)).tolist()
             filled = [b for b in range(1 << bits) if edges[b] < edges[b + 1]]
             digests = np.array(list(classes), np.uint64).reshape(-1, 3)
-            directory = struct.pack("<II", len(ids), len(classes)) + np.array(ids, "<i8").tobytes() + np.array(of, "<u4").tobytes() + digests.astype("<u8").tobytes()
+            directory = struct.pack("<II", len(ids), len(classes)) + np.array(ids, _MEMBER).tobytes() + np.array(of, "<u4").tobytes() + digests.astype("<u8").tobytes()
             out = _table([batch % (1 << bits), *filled], [batch] * (1 + len(filled)), [1] + [0] * len(filled), [directory] + [packed[edges[b] : edges[b + 1]].astype("<u8").tobytes() for b in filled])
             seq, held = seq + 1, 0
             for x in (ids, of, classes, sets):
@@ -124,14 +130,14 @@ def _shingle(bits: int, batch_docs: int, batch_tokens: int):
             yield from out.to_batches()
 
         for part in batches:
-            for i, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            for i, raw, kh in zip(*(part.column(c).to_pylist() for c in range(3))):
                 s = shingle_set(raw or b"")
                 digest = (len(s), int(s.sum(dtype=np.uint64)), int(mix(s * _M1).sum(dtype=np.uint64)))
                 if digest not in classes:
                     classes[digest] = len(classes)
                     sets.append(s)
                     held += len(s)
-                ids.append(NO_ID | digest[1] >> 3 if i is None else i)
+                ids.append((i is None, i or 0, kh))
                 of.append(classes[digest])
                 if len(sets) >= batch_docs or held >= batch_tokens or len(ids) >= 20 * batch_docs:
                     yield from flush()
@@ -180,7 +186,7 @@ def _count(bits: int):
     return run
 
 
-_CLASSES = "rep long, members array<long>, n long, d1 long, d2 long, shared long, ranks binary"
+_CLASSES = "rep struct<noid:boolean,id:long,kh:long>, times long, members array<long>, n long, d1 long, d2 long, shared long, ranks binary"
 
 
 def _assemble(num: int, den: int):
@@ -196,9 +202,10 @@ def _assemble(num: int, den: int):
             ranks.append(np.frombuffer(raw, "<u8", n, 4))
             owners.append(np.frombuffer(raw, "<u2", n, 4 + 8 * n))
         docs, classes = struct.unpack_from("<II", directory)
-        ids = np.frombuffer(directory, "<i8", docs, 8)
-        of = np.frombuffer(directory, "<u4", docs, 8 + 8 * docs)
-        digests = np.frombuffer(directory, "<u8", 3 * classes, 8 + 12 * docs).reshape(-1, 3)
+        wide = _MEMBER.itemsize
+        ids = np.frombuffer(directory, _MEMBER, docs, 8)
+        of = np.frombuffer(directory, "<u4", docs, 8 + wide * docs)
+        digests = np.frombuffer(directory, "<u8", 3 * classes, 8 + (wide + 4) * docs).reshape(-1, 3)
         rank, owner = np.concatenate(ranks), np.concatenate(owners)
         order = np.lexsort((rank, owner))
         rank, owner = rank[order], owner[order]
@@ -207,13 +214,15 @@ def _assemble(num: int, den: int):
         cuts = np.searchsorted(of[by_class], np.arange(classes + 1))
         rows: list[tuple] = []
         for c in range(classes):
-            members = np.sort(ids[by_class[cuts[c] : cuts[c + 1]]])
+            members = sorted(ids[by_class[cuts[c] : cuts[c + 1]]].tolist())
             n, shared = int(digests[c, 0]), int(bounds[c + 1] - bounds[c])
             alive = n > 0 and shared >= _least(num, den, n)
             d1, d2 = digests[c, 1:].view(np.int64).tolist()
-            rows.append((int(members[0]), members.tolist(), n, d1, d2, shared, rank[bounds[c] : bounds[c + 1]].astype("<u8").tobytes() if alive else None))
-        kinds = (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["rep", "members", "n", "d1", "d2", "shared", "ranks"])
+            rep = members[0]
+            rows.append((dict(zip(_MEMBER.names, rep)), members.count(rep), [None if noid else i for noid, i, _ in members], n, d1, d2, shared, rank[bounds[c] : bounds[c + 1]].astype("<u8").tobytes() if alive else None))
+        rep = pa.struct([("noid", pa.bool_()), ("id", pa.int64()), ("kh", pa.int64())])
+        kinds = (rep, pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["rep", "times", "members", "n", "d1", "d2", "shared", "ranks"])
 
     return run
 
@@ -246,30 +255,37 @@ class Trie:
         """For each set, whether it shares ``needed`` ranks with ``centre``.
 
         Walks depth first: the counts along the path of the set before are kept for the
-        prefix it shares with the next one; a set is left where its count plus the rest
-        of the shorter side is too small, along with all that share that prefix.
+        prefix it shares with the next one. Where the count plus what the centre has left
+        can't reach the least need of any set, the node's whole subtree is skipped; a
+        single set is left where its own rest is too small.
         """
         out = [False] * len(self.sets)
-        before, path = np.zeros(0, np.uint64), np.zeros(1, np.int64)
+        least = min(needed, default=0)
+        before, dead = np.zeros(0, np.uint64), None
+        counts, rests = np.zeros(1, np.int64), np.array([len(centre)])  # after each rank of the path
         for k in self.order:
             s = self.sets[k]
             m = min(len(s), len(before))
             differ = np.flatnonzero(s[:m] != before[:m])
             common = int(differ[0]) if len(differ) else m
-            walked = min(common, len(path) - 1)
-            count, at = int(path[walked]), walked
-            path = path[: walked + 1]
-            while at < len(s):
+            if dead is not None and common >= dead:
+                continue  # below the node that was given up
+            dead, at = None, min(common, len(counts) - 1)
+            counts, rests = counts[: at + 1], rests[: at + 1]
+            while at < len(s) and counts[-1] + min(len(s) - at, rests[-1]) >= needed[k]:
                 step = s[at : at + 64]
                 where = np.searchsorted(centre, step)
                 hit = centre[np.minimum(where, len(centre) - 1)] == step
-                path = np.concatenate([path, count + np.cumsum(hit)])
-                count, at = int(path[-1]), at + len(step)
-                left = len(centre) - int(np.searchsorted(centre, step[-1], side="right"))
-                if count + min(len(s) - at, left) < needed[k]:
+                counts = np.concatenate([counts, counts[-1] + np.cumsum(hit)])
+                rests = np.concatenate([rests, len(centre) - where - hit])
+                at += len(step)
+                hopeless = np.flatnonzero(counts[at - len(step) + 1 :] + rests[at - len(step) + 1 :] < least)
+                if len(hopeless):
+                    dead = at - len(step) + 1 + int(hopeless[0])
+                    counts, rests = counts[: dead + 1], rests[: dead + 1]
                     break
-            out[k] = count >= needed[k]
-            before = s[: len(path) - 1]
+            out[k] = dead is None and at == len(s) and bool(counts[-1] >= needed[k])
+            before = s[: len(counts) - 1]
         return out
 
 
@@ -290,20 +306,60 @@ def _verify(num: int, den: int):
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs ``(centre, node)`` that link, star by star; stars are salted to ``STAR`` sets."""
+    """The pairs ``(centre, node)`` that link, star by star; stars are salted to ``STAR`` sets.
+
+    ``pairs`` is a written table.
+    """
     sizes = pairs.groupBy("centre").agg(F.count("*").alias("size"))
-    salted = pairs.join(sizes, "centre").select("centre", "node", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / STAR)).alias("salt"))
+    salted = lookup(pairs, sizes, ["centre"]).select("centre", "node", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / STAR)).alias("salt"))
     leaves = salted.join(nodes, "node").select("centre", "salt", "node", "n", "ranks", F.lit(True).alias("leaf"))
     hubs = salted.select("centre", "salt").distinct().join(nodes.withColumnRenamed("node", "centre"), "centre").select("centre", "salt", F.col("centre").alias("node"), "n", "ranks", F.lit(False).alias("leaf"))
     return leaves.unionByName(hubs).groupBy("centre", "salt").applyInArrow(_verify(num, den), "a long, b long")
 
 
+def _second_prefixes(num: int, den: int):
+    """Pairs of a frequent prefix shingle and one behind it: two linked sets share two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["token", "after", "node", "n", "rest", "component"]
+        for batch in batches:
+            for node, n, raw, component, hot in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "ranks", "component", "hot"))):
+                ranks = np.frombuffer(raw, "<u8")
+                size = min(len(ranks), n - _least(num, den, n) + 2 - (n - len(ranks)))
+                for token in hot:
+                    at = int(np.searchsorted(ranks, np.array([token], np.int64).view(np.uint64)[0]))
+                    after = ranks[at + 1 : size].view(np.int64)
+                    rest = 1 + len(ranks) - np.arange(at + 1, at + 1 + len(after))
+                    same = [pa.array(np.full(len(after), x)) for x in (token, node, n, component)]
+                    yield pa.RecordBatch.from_arrays([same[0], pa.array(after), same[1], same[2], pa.array(rest), same[3]], names=names)
+
+    return run
+
+
+def _across(open_: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
+    """Pairs of one key's sets in different components that the bounds leave open."""
+    left, right = open_.alias("x"), open_.alias("y")
+    need = F.ceil(num * (F.col("x.n") + F.col("y.n")) / (num + den))
+    same = functools.reduce(lambda a, b: a & b, [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys])
+    return (
+        left.join(right, same & (F.col("x.component") < F.col("y.component")))
+        .where((F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num) & (F.least("x.rest", "y.rest") >= need))
+        .select(F.col("x.node").alias("centre"), F.col("y.node").alias("node"))
+        .distinct()
+    )
+
+
+def text_hash() -> F.Column:
+    """Tells rows of one id apart."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def shingle_classes(docs: DataFrame, num: int, den: int, batch_docs: int = 60_000, batch_tokens: int = 1_500_000) -> DataFrame:
     """Steps 1 and 2: classes of equal sets with their members and shared shingles in global order."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(16, max(4 * shuffle_partitions(spark) - 1, total // 6 // 4_000_000, 1).bit_length())
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    bits = max(4 * shuffle_partitions(spark) - 1, total // 6 // 4_000_000, 1).bit_length()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), text_hash().alias("kh"))
     return (
         rows.mapInArrow(_shingle(bits, batch_docs, batch_tokens), _BUCKETED)
         .groupBy("key")
@@ -313,19 +369,19 @@ def shingle_classes(docs: DataFrame, num: int, den: int, batch_docs: int = 60_00
     )
 
 
-def _graph(docs: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _graph(docs: DataFrame, num: int, den: int, few: int = 1000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Classes, the nodes of those that may link, and the component of each node that has a link."""
     spark = docs.sparkSession
     bounded_batches(spark)
     classes, classes_path = materialize(shingle_classes(docs, num, den), "classes")
     alive = classes.where(F.col("ranks").isNotNull())
-    digest = ["n", "d1", "d2"]
-    by_set, _ = materialize(alive.groupBy(*digest).agg(F.min("rep").alias("id"), F.first("ranks").alias("ranks")), "nodes")
-    # the least id of several classes names the one of the least digest; the others get internal ids
-    named = by_set.groupBy("id").agg(F.min(F.struct(*digest)).alias("s"), F.count("*").alias("k")).where("k > 1").select("id", "s")
-    internal = F.lit(NO_ID) + F.pmod(F.xxhash64("id", *digest), F.lit(NO_ID))
-    nodes = by_set.join(named, "id", "left").select(F.when(F.col("s") != F.struct(*digest), internal).otherwise(F.col("id")).alias("node"), "id", *digest, "ranks")
-    nodes, _ = materialize(nodes, "nodes") if named.take(1) else (by_set.withColumn("node", F.col("id")), None)
+    by_set, set_path = materialize(alive.groupBy(*_DIGEST).agg(F.min("rep").alias("rep"), F.first("ranks").alias("ranks")), "nodes")
+    # a node's name is half of its digest; should two sets share it, all of theirs
+    twice = by_set.groupBy("d1").count().where("count > 1").select("d1", F.lit(True).alias("twice"))
+    nodes = by_set.withColumn("node", F.col("d1"))
+    if twice.take(1):
+        named = by_set.join(twice, "d1", "left").withColumn("node", F.when(F.col("twice"), F.xxhash64(*_DIGEST)).otherwise(F.col("d1")))
+        nodes, _ = materialize(named.drop("twice"), "nodes")
     sets = nodes.select("node", "n", "ranks")
     prefixes, prefix_path = materialize(sets.mapInArrow(_prefixes(num, den), "token long, node long, n long, rest long"), "prefixes")
     shared = prefixes.groupBy("token").agg(F.min("node").alias("centre"), F.min_by("n", "node").alias("n_centre"), F.count("*").alias("size")).where("size > 1")
@@ -338,46 +394,48 @@ def _graph(docs: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame, D
         .groupBy("node")
         .agg(F.max_by("centre", F.struct("k", -F.col("centre"))).alias("centre"))
     )
+    stars, star_path = materialize(stars, "stars")
     first, first_path = materialize(_links(stars, sets, num, den), "links")
     labels = connected_components(first)
     labelled = prefixes.join(labels, "node", "left").select("token", "node", "n", "rest", F.coalesce("component", "node").alias("component"))
-    several = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    open_, open_path = materialize(labelled.join(several, "token"), "open")
-    left, right = open_.alias("x"), open_.alias("y")
-    need = F.ceil(num * (F.col("x.n") + F.col("y.n")) / (num + den))
-    rest = (
-        left.join(right, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")))
-        .where((F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num) & (F.least("x.rest", "y.rest") >= need))
-        .select(F.col("x.node").alias("centre"), F.col("y.node").alias("node"))
-        .distinct()
-    )
-    second = _links(rest, sets, num, den)
-    same_id = nodes.where("node != id").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    found, found_path = materialize(first.unionByName(second).unionByName(same_id), "links")
+    labelled, labelled_path = materialize(labelled, "labelled")
+    several = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("token", "size")
+    open_, open_path = materialize(lookup(labelled, several, ["token"]), "open")
+    pairs = _across(open_.where(F.col("size") <= few), ["token"], num, den)
+    if open_.where(F.col("size") > few).take(1):
+        hot = open_.where(F.col("size") > few).groupBy("node", "component").agg(F.collect_set("token").alias("hot"))
+        seconds = sets.join(hot, "node").select("node", "n", "ranks", "component", "hot")
+        seconds, _ = materialize(seconds.mapInArrow(_second_prefixes(num, den), "token long, after long, node long, n long, rest long, component long"), "second-prefixes")
+        pairs = pairs.unionByName(_across(seconds, ["token", "after"], num, den)).distinct()
+    pairs, pair_path = materialize(pairs, "pairs")
+    second = _links(pairs, sets, num, den)
+    found, found_path = materialize(first.unionByName(second), "links")
     joined = connected_components(found)
-    release(spark, prefix_path, first_path, open_path, found_path)
+    release(spark, prefix_path, star_path, first_path, labelled_path, open_path, pair_path, found_path)
     return classes, nodes, joined
 
 
-def _real(column: str) -> F.Column:
-    return F.when(F.col(column) < NO_ID, F.col(column))
-
-
 _DIGEST = ["n", "d1", "d2"]
 
 
 def _with_components(classes: DataFrame, nodes: DataFrame, joined: DataFrame) -> DataFrame:
-    """Every class with its node, null if it is alone, and the least id of its component."""
-    # every class -> the least id of its digest -> that node's component
-    by_digest = nodes.join(joined, "node", "left").select(*_DIGEST, "node", F.coalesce("component", "node").alias("component"))
-    return classes.join(by_digest, _DIGEST, "left").withColumn("least", F.coalesce("component", "rep"))
+    """Every class with its node, its component (null if it can't have a link) and the least member of that."""
+    placed = nodes.join(joined, "node", "left").select(*_DIGEST, "node", "rep", F.coalesce("component", "node").alias("component"))
+    least = placed.groupBy("component").agg(F.min("rep").alias("least"))
+    by_digest = placed.drop("rep").join(least, "component")
+    # classes of one set in several batches have a node, so those without one stand for themselves
+    return classes.join(by_digest, _DIGEST, "left").withColumn("least", F.coalesce("least", "rep"))
+
+
+def _least_id() -> F.Column:
+    """The component's least id; that of the row itself if its text has no words."""
+    return F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(~F.col("least.noid"), F.col("least.id"))
 
 
-def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
+def jaccard_components(docs: DataFrame, num: int = 75, den: int = 100, few: int = 1000) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs(doc_id, text)``."""
-    out = _with_components(*_graph(docs, num, den)).select(F.explode("members").alias("doc_id"), F.col("n").alias("n_shingles"), "least")
-    alone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least"))
-    return out.withColumn("least", alone).select(_real("doc_id").alias("doc_id"), "n_shingles", _real("least").alias("component_id"))
+    out = _with_components(*_graph(docs, num, den, few)).select(F.explode("members").alias("doc_id"), F.col("n").alias("n_shingles"), "least")
+    return out.select("doc_id", "n_shingles", _least_id().alias("component_id"))
 
 
 def _pairs(num: int, den: int):
@@ -417,8 +475,7 @@ def jaccard_join(docs: DataFrame, num: int = 75, den: int = 100, block: int = ST
     of ``docs``; rows with equal sets share their class, and ``n_links`` counts the other
     rows a row links with, in its class and in others. The second has ``a < b``, two class
     ids, and the overlap of their sets, for each link between different sets, also inside
-    a component. A class id is the least doc_id of the class, or an internal number from
-    ``NO_ID`` on where that is null or names another class; empty texts have null.
+    a component. A class id is a number made from the class's set; empty texts have null.
     """
     spark = docs.sparkSession
     classes, nodes, joined = _graph(docs, num, den)
@@ -429,7 +486,7 @@ def jaccard_join(docs: DataFrame, num: int = 75, den: int = 100, block: int = ST
     cells = other.select("component", "node", "n", "ranks", "salt", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"))
     links, _ = materialize(cells.groupBy("component", "i", "j").applyInArrow(_pairs(num, den), "a long, b long, overlap long"), "class-links")
     # a class may come from several batches; those without a node are in one only
-    found = _with_components(classes, nodes, joined).withColumn("class_id", F.when(F.col("n") > 0, F.coalesce("node", "rep")))
+    found = _with_components(classes, nodes, joined).withColumn("class_id", F.when(F.col("n") > 0, F.coalesce("node", "d1")))
     sizes = found.where("n > 0").groupBy("class_id", *_DIGEST).agg(F.sum(F.size("members")).alias("size"))
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     node_sizes = sizes.join(nodes.select("node", *_DIGEST), _DIGEST).select(F.col("node").alias("b"), "size")
@@ -437,20 +494,25 @@ def jaccard_join(docs: DataFrame, num: int = 75, den: int = 100, block: int = ST
     counted = sizes.join(nodes.select("node", *_DIGEST), _DIGEST, "left").join(further, "node", "left")
     counted = counted.select(*_DIGEST, (F.col("size") - 1 + F.coalesce("further", F.lit(0))).alias("links"))
     out = found.join(counted, _DIGEST, "left").select(F.explode("members").alias("doc_id"), F.col("n").alias("n_shingles"), "least", "class_id", F.coalesce("links", F.lit(0)).alias("n_links"))
-    alone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least"))
-    rows = out.withColumn("least", alone).select(_real("doc_id").alias("doc_id"), "n_shingles", _real("least").alias("component_id"), "class_id", "n_links")
-    return rows, links
+    return out.select("doc_id", "n_shingles", _least_id().alias("component_id"), "class_id", "n_links"), links
 
 
 def one_of_each(docs: DataFrame, num: int = 75, den: int = 100) -> DataFrame:
     """``docs`` with one row of each component, that of the least id, with all columns.
 
-    Rows without an id can't be told apart by it and stay.
+    Rows without an id come after those with one, rows of one id by their text's hash. Rows
+    without words link with nothing and all stay.
     """
-    least = jaccard_components(docs, num, den).where("doc_id = component_id").select(F.col("doc_id").alias("_least")).distinct()
-    kept = docs.join(least, docs["doc_id"] == least["_least"], "left_semi")
-    once = kept.withColumn("_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_rank = 1").drop("_rank")
-    return once.unionByName(docs.where(F.col("doc_id").isNull()))
+    found = _with_components(*_graph(docs, num, den)).withColumn("component", F.coalesce("component", F.col("d1")))
+    several = (F.max("times") > 1) | (F.count("*") > 1)
+    linked = found.where("n > 0").groupBy("component").agg(F.min("least").alias("least"), several.alias("several")).select("least.*", "several")
+    key = [F.col("doc_id").isNull().alias("noid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), text_hash().alias("kh")]
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *key)
+    kept = rows.join(linked, ["noid", "id", "kh"])
+    first = kept.where("several").withColumn("nth", F.row_number().over(Window.partitionBy("noid", "id", "kh").orderBy(F.lit(0)))).where("nth = 1")
+    empty = rows.where(~F.coalesce(F.col("row.text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    out = kept.where("not several").select("row").unionByName(first.select("row")).unionByName(empty.select("row"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
