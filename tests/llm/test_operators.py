@@ -58,6 +58,38 @@ def test_divergence():
     assert d[0] == pytest.approx(np.sqrt((f(1, m) + f(0.5, m) + f(0.5, 0.25)) / 2)) and d[0] == d[1] and d[2] == d[3] == 0
 
 
+def test_distances_of_the_corpus(spark):
+    """The verdicts again, from plain histograms of whole texts."""
+    found = queries.QUERIES["op1_quality"](spark, SF).collect()
+    texts = {i: (t or "", g) for i, t, g in duckdb.sql(f"select doc_id, text, lang from '{SF}/documents.parquet'").fetchall()}
+    kinds = {c: quality.CLASSES[quality._TABLE[ord(c)]] if ord(c) < len(quality._TABLE) else "other letter" for t, _ in texts.values() for c in set(t)}
+
+    def hists(t):
+        words = collections.Counter(w if w in quality._VOCABULARY else None for w in t.encode().lower().split())
+        return collections.Counter(kinds[c] for c in t), words
+
+    def distance(p, q):
+        total, whole, out = sum(p.values()), sum(q.values()), 0.0
+        for k in set(p) | set(q):
+            x, y = p[k] / total, q[k] / whole
+            out += sum(v * np.log2(v / ((x + y) / 2)) for v in (x, y) if v) / 2
+        return max(0.0, out) ** 0.5
+
+    refs = {}
+    for r in found:
+        if not r.base_failed:
+            t, g = texts[r.doc_id]
+            a, b = refs.setdefault(g, (collections.Counter(), collections.Counter()))
+            for own, more in zip((a, b), hists(t)):
+                own.update(more)
+    for r in found:
+        t, g = texts[r.doc_id]
+        if t.split():
+            far = [distance(p, q) if sum(p.values()) >= least else 0 for p, q, least in zip(hists(t), refs[g], (200, 50))]
+            assert far == pytest.approx([r.class_distance, r.word_distance], abs=1e-6)
+            assert r.kept == (not r.base_failed and far[0] <= 0.25 and far[1] <= 0.45)
+
+
 def test_junk_is_dropped_and_prose_kept(spark):
     r = random.Random(3)
     prose = [" ".join(r.choice("the of and to in a is that river stone walked slowly over green hills".split()) + r.choice(["", "", "s"]) for _ in range(120)) for _ in range(30)]
@@ -336,6 +368,43 @@ def test_recall_of_edited_copies(spark):
     assert all(f.cover >= 0.6 for f in found)
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_alignment_counts(seed):
+    """Matched words and columns of an alignment that has the best score, by a plain matrix."""
+    r = random.Random(seed)
+    a, b = ([r.choice("abcde") for _ in range(r.randrange(1, 16))] for _ in range(2))
+    cell = {(i, j): {(0, 0, 0, i)} for i in range(len(a) + 1) for j in range(len(b) + 1)}
+    best: set = set()
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            eq = a[i - 1] == b[j - 1]
+            found = {(s + (2 if eq else -1), m + eq, c + 1, st) for s, m, c, st in cell[i - 1, j - 1]} | {(s - 1, m, c + 1, st) for p in ((i - 1, j), (i, j - 1)) for s, m, c, st in cell[p]}
+            top = max(s for s, *_ in found)
+            cell[i, j] = {f for f in found if f[0] == top} if top > 0 else {(0, 0, 0, i)}
+            best |= {(m, c, st, i, s) for s, m, c, st in cell[i, j]}
+    top = max((x[4] for x in best), default=0)
+    assert decontaminate.align(a, b) in {x for x in best if x[4] == top} or top == 0
+
+
+def test_decontamination_cases(spark):
+    item = " ".join(f"w{k}" for k in range(30))
+    bench = spark.createDataFrame([(7, item), (7, item), (None, item)], "item_id long, text string")
+    df = frame(spark, [(1, item), (1, item), (None, item), (2, "x " * 40_000 + item), (3, None), (4, "")]).selectExpr("*", "1 as _", "2 as item_id", "3 as row", "4 as filler")
+    found = collections.Counter((r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect())
+    assert found == {(1, 7): 4, (1, None): 2, (None, 7): 2, (None, None): 1, (2, 7): 2, (2, None): 1}
+    kept = decontaminate.without_leaks(df, bench)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4]
+
+
+def test_against_every_alignment(spark):
+    """The whole tables of the smallest size: each document with each item, by plain alignments."""
+    texts = [t for (t,) in duckdb.sql(f"select text from '{SF}/documents.parquet' where length(text) < 1500 order by doc_id").fetchall()]
+    items = duckdb.sql(f"select item_id, text from '{SF}/benchmark.parquet' order by 1 limit 8").fetchall()
+    expected = {(i, k) for i, t in enumerate(texts) for k, item in items if leaked(t, " ".join(decontaminate.words(item)))}
+    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame(spark, list(enumerate(texts))), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert expected <= found
+
+
 # --- 5
 
 
@@ -363,8 +432,8 @@ def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
     labels = dict(duckdb.sql(f"select doc_id, toxic from '{d}/labels.parquet'").fetchall())
     held = [(labels[r.doc_id], r.predicted) for r in queries.QUERIES["op5_toxicity"](spark, d).collect() if r.held_out and r.doc_id in labels]
-    assert sum(p for y, p in held if y) >= 0.85 * sum(y for y, _ in held)
-    assert sum(p for y, p in held if not y) <= 0.03 * sum(1 - y for y, _ in held)
+    assert sum(p for y, p in held if y) >= 0.9 * sum(y for y, _ in held)
+    assert sum(p for y, p in held if not y) <= 0.01 * sum(1 - y for y, _ in held)
 
 
 # --- 6
@@ -380,15 +449,26 @@ def test_op6_rules(spark):
     assert [r.verdict for r in out if r.rule] == ["allow", "block", "block", "block", "allow", "allow"] and all(r.verdict == "allow" for r in out if not r.host)
 
 
-def test_trees_as_columns_equal_the_trees(spark):
-    labelled = spark.createDataFrame(url_filter.seed_urls()[::7], "url string, label int")
-    odds, (base_, trees) = url_filter.train(labelled)
-    rows_ = url_filter._with_features(labelled, odds).select("url", "label", *url_filter.FEATURES).collect()
+def test_trees_as_columns_equal_the_trees_and_judge_unseen_urls(spark):
+    urls = url_filter.seed_urls()
+    model = odds, (base_, trees) = url_filter.train(spark.createDataFrame([u for k, u in enumerate(urls) if k % 8 < 6], "url string, label int"))
+    unseen = spark.createDataFrame([u for k, u in enumerate(urls) if k % 8 >= 6], "url string, label int")
+    rows_ = url_filter._with_features(unseen, odds).select("url", "label", *url_filter.FEATURES).collect()
     x = np.array([[r[f] for f in url_filter.FEATURES] for r in rows_], float)
     margin = base_ + sum(url_filter._values(t, x) for t in trees)
-    out = {r.page_id: r.score for r in url_filter.url_verdicts(labelled.selectExpr("url page_id", "url"), [], (odds, (base_, trees))).collect()}
-    assert np.allclose([out[r.url] for r in rows_], 1 / (1 + np.exp(-margin)))
-    assert np.mean((margin > 0) == [r.label for r in rows_]) > 0.95
+    out = {r.page_id: r for r in url_filter.url_verdicts(unseen.selectExpr("url page_id", "url"), [], model).collect()}
+    assert np.allclose([out[r.url].score for r in rows_], 1 / (1 + np.exp(-margin)))
+    blocked = [(out[r.url].verdict == "block", r.label) for r in rows_]
+    right = sum(b and y for b, y in blocked)
+    assert right >= 0.8 * sum(y for _, y in blocked) and right >= 0.8 * sum(b for b, _ in blocked)
+
+
+def test_url_cases(spark):
+    model = (dict(), (0.0, [0.5]))
+    df = spark.createDataFrame([(None, "http://a.net/"), (1, None), (1, None), (2, "http://é.de/x?" + "y" * 9000)], "page_id long, url string").selectExpr("*", "'x' as host", "1 as score", "2 as rule")
+    out = url_filter.url_verdicts(df, url_filter.RULES, model)
+    assert rows(out, "page_id", "host", "rule") == [(1, "", None), (1, "", None), (2, "é.de", None), (None, "a.net", "net/")]
+    assert url_filter.url_verdicts(df.limit(0), url_filter.RULES, model).count() == 0
 
 
 # --- 7
@@ -416,7 +496,7 @@ def test_pseudonyms_keep_format_and_links(spark):
     for clean in ("4539 1488 0343 6468", "2023-02-29", "999.1.1.1", "GB83WEST12345698765432", "000-12-3456", "call 1234", "version 1.2.3", "", "12345678901234567890123"):
         assert p.replace(clean) == (clean, {}), clean
     df = spark.createDataFrame([(1, "mail a.b@c.de", 5), (2, None, 6), (None, "", 7)], "doc_id long, text string, row int")
-    out = {r.row: r for r in pii.pseudonymize(df).collect()}
+    out = {r.row: r for r in pii.pseudonymize(df, b"key").collect()}
     assert out[5].n_email == 1 and out[6].text is None and out[7].text == "" and out[7].doc_id is None
 
 CARD, IBAN = "4539148803436467", "DE89370400440532013000"
@@ -546,7 +626,8 @@ def test_first_fit_decreasing():
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    for t in ("documents", "pages"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     r = con.sql(queries.ORACLE_SQL[name])
     out = queries.QUERIES[name](spark, SF)
     assert sorted(out.columns) == sorted(r.columns) and rows(out, *r.columns) == sorted(r.fetchall())
@@ -564,10 +645,10 @@ def test_defined_cases(spark, values):
     df = spark.createDataFrame([(i, t, "en", "s", "k", 1, 2.0) for i, t in values], "doc_id long, text string, lang string, source string, row string, kid int, score double")
     n = len(values)
     assert quality.quality_verdicts(df).count() == n
-    for out in (substring_dedup.remove_repeats(df), suffix_dedup.remove_repeats(df, keep_first=False), toxicity.toxicity_scores(df, toxicity.fit(["you fool", "dear friend"] * 30, [1, 0] * 30)), toxicity.toxicity_scores(df, None), pii.pseudonymize(df)):
+    for out in (substring_dedup.remove_repeats(df), suffix_dedup.remove_repeats(df, keep_first=False), toxicity.toxicity_scores(df, toxicity.fit(["you fool", "dear friend"] * 30, [1, 0] * 30)), toxicity.toxicity_scores(df, None), pii.pseudonymize(df, b"key")):
         got = collections.Counter(r.doc_id for r in out.collect())
         assert got == collections.Counter(i for i, _ in values)
-    assert set(toxicity.toxicity_scores(df, None).columns) == set(df.columns) and "row" in pii.pseudonymize(df).columns
+    assert set(toxicity.toxicity_scores(df, None).columns) == set(df.columns) and "row" in pii.pseudonymize(df, b"key").columns
     joined = ngram_join.jaccard_components(df).collect()
     assert len(joined) == n and all(r.component_id == 1 for r in joined if r.doc_id in (1, 8)) and all(r.component_id is None for r in joined if r.doc_id is None)
     one = ngram_join.one_of_each(df)

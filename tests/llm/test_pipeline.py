@@ -5,9 +5,10 @@ import collections
 import duckdb
 
 import corpus_pipeline
-from tracewright.llm import ngram_join, toxicity
 from tracewright.llm.common import materialize
 
+from test_operators import components
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -16,13 +17,15 @@ def test_stages(spark):
     columns = docs.columns
     stages = dict(corpus_pipeline.STAGES)
     assert list(stages) == ["toxicity", "ngram_join", "decontamination", "pii", "packing"]
-    scores = {r.doc_id: r.score for r in toxicity.toxicity_scores(docs, toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))).collect()}
+    labels = dict(duckdb.sql(f"select doc_id, toxic from '{SF}/labels.parquet'").fetchall())
 
     a, _ = materialize(stages["toxicity"](spark, docs, SF), "a")
-    assert a.columns == columns and {r.doc_id for r in a.collect()} == {i for i, s in scores.items() if s < 0.3}
+    left = {r.doc_id for r in a.collect()}
+    agree = sum((i in left) != bool(toxic) for i, toxic in labels.items())  # nine toxic texts to learn from
+    assert a.columns == columns and agree >= 0.9 * len(labels), (agree, len(labels))
 
     b, _ = materialize(stages["ngram_join"](spark, a, SF), "b")
-    group = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(a).collect()}
+    group = {i: c for i, _, c in components(sorted((r.doc_id, r.text) for r in a.collect()))}
     assert sorted(r.doc_id for r in b.collect()) == sorted(set(group.values()))
 
     c, _ = materialize(stages["decontamination"](spark, b, SF), "c")
@@ -44,5 +47,14 @@ def test_stages(spark):
     assert total.keys() == after.keys() and all(total[r.doc_id] == r.doc_tokens for r in out)
 
 
+def test_clashing_columns(spark):
+    """Columns named like the operators' own go through all stages unchanged."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40).selectExpr("*", "doc_id * 2 as score", "doc_id * 3 as n_email", "doc_id * 5 as _rank", "1 as _", "2 as row", "3 as kh")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs, _ = materialize(stage(spark, docs, SF), "clash")
+    rows = docs.collect()
+    assert rows and all((r.score, r.n_email, r._rank) == (2 * r.doc_id, 3 * r.doc_id, 5 * r.doc_id) for r in rows)
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import bounded_batches, table
+from .common import bounded_batches, table, unused
 
 MAX_ITEM_BYTES = 16 << 20
 _WORD = re.compile(r"[^\W_]+")
@@ -70,8 +70,6 @@ class Index:
             for w in g:
                 self.numbers.setdefault(w, len(self.numbers) + 1)
         self.base = len(self.numbers) + 1
-        if self.base**n >= 2**63:
-            raise ValueError("too many distinct words for one block of items")
         codes = np.array([self._code(g) for g in wanted], dtype=np.int64)
         order = np.argsort(codes)
         lists = list(wanted.values())
@@ -87,7 +85,7 @@ class Index:
         code = 0
         for w in gram:
             code = code * self.base + self.numbers[w]
-        return code
+        return (code + 2**63) % 2**64 - 2**63  # as 64-bit numbers run over; equal codes are only a hint
 
     def hits(self, ws: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Items and positions of every wanted n-gram of ``ws``, by item and position."""
@@ -114,30 +112,36 @@ class Index:
 
 
 def align(a: list[str], b: list[str], match: int = MATCH, mismatch: int = MISMATCH, gap: int = GAP) -> tuple[int, int, int, int, int]:
-    """Best local alignment: matched words, aligned columns, start and end in ``a``, score."""
+    """Best local alignment: matched words, aligned columns, start and end in ``a``, score.
+
+    Row by row; each cell carries the alignment that ends there as its start and counts, so
+    memory is a few rows and not a matrix.
+    """
     codes: dict[str, int] = {}
     x = np.array([codes.setdefault(w, len(codes)) for w in a])
     y = np.array([codes.setdefault(w, len(codes)) for w in b])
-    n, m = len(x), len(y)
-    score = np.zeros((n + 1, m + 1), dtype=np.int32)
-    ramp = gap * np.arange(m + 1)
-    for i in range(1, n + 1):
-        row = np.maximum(score[i - 1, 1:] + gap, score[i - 1, :-1] + np.where(y == x[i - 1], match, mismatch))
-        row = np.concatenate([[0], np.maximum(row, 0)])
-        score[i] = np.maximum.accumulate(row - ramp) + ramp  # gaps along the row
-    i, j = np.unravel_index(int(score.argmax()), score.shape)
-    best, end, matched, columns = int(score[i, j]), int(i), 0, 0
-    while i and j and score[i, j] > 0:
-        columns += 1
-        equal = x[i - 1] == y[j - 1]
-        if score[i, j] == score[i - 1, j - 1] + (match if equal else mismatch):
-            matched += bool(equal)
-            i, j = i - 1, j - 1
-        elif score[i, j] == score[i - 1, j] + gap:
-            i -= 1
-        else:
-            j -= 1
-    return matched, columns, int(i), end, best
+    m = len(y)
+    at, ramp = np.arange(m + 1), gap * np.arange(m + 1)
+    score, matched, columns, start = (np.zeros(m + 1, np.int64) for _ in range(4))
+    best = (0, 0, 0, 0, 0)
+    for i, word in enumerate(x.tolist(), 1):
+        equal = y == word
+        across, down = score[:-1] + np.where(equal, match, mismatch), score[1:] + gap
+        diagonal = across >= down
+        value = np.concatenate([[0], np.where(diagonal, across, down)])
+        new_matched = np.concatenate([[0], np.where(diagonal, matched[:-1] + equal, matched[1:])])
+        new_columns = np.concatenate([[0], np.where(diagonal, columns[:-1], columns[1:]) + 1])
+        new_start = np.concatenate([[i], np.where(diagonal, start[:-1], start[1:])])
+        none = value <= 0
+        value[none], new_matched[none], new_columns[none], new_start[none] = 0, 0, 0, i
+        # gaps along the row: the cell that each one is best reached from
+        origin = np.maximum.accumulate((value - ramp) * (m + 1) + at) % (m + 1)
+        along = at - origin
+        score, matched, columns, start = value[origin] + gap * along, new_matched[origin], new_columns[origin] + along, new_start[origin]
+        j = int(score.argmax())
+        if score[j] > best[4]:
+            best = (int(matched[j]), int(columns[j]), int(start[j]), i, int(score[j]))
+    return best
 
 
 def _matcher(item_words: list[list[str]], item_ids: list, min_cover: float, min_identity: float):
@@ -245,7 +249,7 @@ def _matchers(docs: DataFrame, benchmark: DataFrame, min_cover: float = 0.6, min
 
 def _packed(docs: DataFrame) -> DataFrame:
     rest = [docs[c] for c in docs.columns if c != "text"]
-    return docs.select(F.struct(*rest, F.lit(0).alias("_")).alias("row"), "text")
+    return docs.select(F.struct(*rest, F.lit(0).alias(unused(docs, "filler"))).alias("row"), "text")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:

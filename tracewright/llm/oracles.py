@@ -29,3 +29,18 @@ marked AS (SELECT bytes.doc_id, i, x, coalesce(max(k) OVER (PARTITION BY bytes.d
 runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS first FROM marked),
 kept AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS r, count(*) FILTER (WHERE first) AS s, string_agg(x, '' ORDER BY i) FILTER (WHERE NOT gone) AS y FROM runs GROUP BY doc_id)
 SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(r, 0) AS n_removed, coalesce(s, 0) AS n_spans, sha256(unhex(coalesce(y, ''))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+QUALITY_BASE = rf"""WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+tri AS (SELECT doc_id, k, array_to_string(ws[k:k + 2], ' ') AS g FROM w, unnest(range(1, len(ws) - 1)) t(k)),
+rep AS (SELECT doc_id, k FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM tri) WHERE c > 1),
+hit AS (SELECT doc_id, count(DISTINCT k + o) AS n FROM rep, unnest(range(3)) r(o) GROUP BY 1),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM w, unnest(string_split(text, chr(10))) l(line) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+c AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+ coalesce(dup.n, 0) AS n_dup_lines, coalesce(hit.n, 0) AS n_repeat_words FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN dup USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c"""
+
+URL_RULES = r"""WITH a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+r(h, p) AS (VALUES ('net', '/'), ('example.net', '/en/'), ('example.com', '/de/'), ('org', '/fr/')),
+f AS (SELECT page_id, max_by(h || p, length(h || p)) AS rule FROM b JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY 1)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule FROM b LEFT JOIN f USING (page_id)"""

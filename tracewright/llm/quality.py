@@ -186,5 +186,10 @@ def quality_verdicts(
     return measured.mapInArrow(_judge(refs, max_classes, max_common, min_chars, min_words), schema)
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the verdicts that SQL can express: base counts and ``base_failed``."""
+    return base_measures(table(spark, sf_dir, "documents")).drop("lang", "classes", "common")
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"))

@@ -11,15 +11,18 @@ that space is a kernel SVM. As its decision is linear in ``phi(x)``, the weights
 landmarks fold into one table over subsequences: scoring a word is a few look-ups.
 
 Training. The bags are the labelled documents' sentences: a sentence counts by its most
-toxic word, a document by its most toxic sentence, and only some word of some sentence of
-a toxic document needs to be toxic (MI-SVM: witness words are chosen, the SVM fitted, and
-the witnesses chosen again). Part of the labelled rows is held back to fit the logistic
-curve that turns the margins of a document's words into a probability.
+toxic word, and only some sentences of a toxic document need to be toxic (MI-SVM: witness
+words of its most toxic sentences are chosen, the SVM fitted, and the witnesses chosen
+again). Only words that toxic documents have twice as often as others can be witnesses.
+Labels are of documents, not of sentences, so a document is scored as a whole: part of the
+labelled rows is held back to fit the logistic curve that turns the margins of its words
+(the two largest, the positive ones, and how many words there are) into a probability.
 
 Scoring is one pass of ``mapInArrow`` with a model of fixed size; nothing is shuffled.
 
 Defined cases: null and empty texts and texts without letters score as the curve's value
-for "no toxic word"; null or repeated ``doc_id`` rows are each scored; without labels of
+for "no toxic word"; null or repeated ``doc_id`` rows are each scored, and a null id is not
+held out; without labels of
 both kinds every text scores 0.0; other columns are ignored.
 """
 
@@ -42,7 +45,10 @@ from .common import bounded_batches, process_memo, table
 DECAY = 0.6
 WORD_LENGTH = 20  # longer words are read in overlapping parts
 #: Offsets of the letters of a subsequence, and its number of gaps.
-SHAPES = [((0, 1, 2), 0), ((0, 1, 3), 1), ((0, 2, 3), 1), ((0, 1, 2, 3), 0), ((0, 1, 2, 4), 1), ((0, 1, 3, 4), 1), ((0, 2, 3, 4), 1)]
+SHAPES = [
+    ((0, 1, 2), 0), ((0, 1, 3), 1), ((0, 2, 3), 1), ((0, 1, 4), 2), ((0, 2, 4), 2), ((0, 3, 4), 2),
+    ((0, 1, 2, 3), 0), ((0, 1, 2, 4), 1), ((0, 1, 3, 4), 1), ((0, 2, 3, 4), 1), ((0, 1, 3, 5), 2), ((0, 2, 3, 5), 2), ((0, 2, 4, 5), 2),
+]
 TABLE_BITS = 20
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -136,16 +142,16 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.curve[:-1] + self.curve[-1], -30, 30)))
 
 
-def _unit(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Padded words' slots and weights scaled to norm 1 (long words by their first part)."""
-    slot, weight, norm = subsequences([_parts(w)[0] for w in words])
+def _unit(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and weights of marked words or parts of words, scaled to norm 1."""
+    slot, weight, norm = subsequences(parts)
     return slot, weight / norm[:, None]
 
 
-def _against(words: list[str], landmarks: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def _against(parts: list[str], landmarks: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """k(word, landmark) for all landmarks, a landmark's table at a time."""
-    slot, weight = _unit(words)
-    out = np.zeros((len(words), len(landmarks[0])), np.float32)
+    slot, weight = _unit(parts)
+    out = np.zeros((len(parts), len(landmarks[0])), np.float32)
     dense = np.zeros(1 << TABLE_BITS, np.float32)
     for j, (s, w) in enumerate(zip(*landmarks)):
         np.add.at(dense, s, w)
@@ -187,18 +193,51 @@ def _logistic(x: np.ndarray, y: np.ndarray, prior: float = 0.3) -> np.ndarray:
     return np.append(weights, w[-1] - (weights * mean).sum())
 
 
-def fit(texts: list[str], toxic: list[int], landmarks: int = 96, rounds: int = 3) -> Model | None:
-    """Fit on labelled texts; None unless both labels occur. Every third text only calibrates."""
-    bags = [[words_of(s) for s in _SENTENCE.split(t)] for t in texts]
-    docs = [set().union(*b) if b else set() for b in bags]
-    held = [zlib.crc32(t.encode("utf-8", "replace")) % 3 == 0 for t in texts]
-    seen: set[int] = set()
-    own = []
-    for i, t in enumerate(texts):  # copies of a text would be counted as evidence
-        if not held[i] and hash(t) not in seen:
-            seen.add(hash(t))
-            own.append(i)
-    pos, neg = [i for i in own if toxic[i]], [i for i in own if not toxic[i]]
+@dataclass
+class Labelled:
+    """A labelled text: the words of each sentence, its label, and a hash that equal texts share."""
+
+    sentences: list[set[str]]
+    toxic: bool
+    digest: int
+
+    @property
+    def words(self) -> set[str]:
+        return set().union(*self.sentences)
+
+    @classmethod
+    def of(cls, text: str, toxic: int) -> Labelled:
+        return cls([w for s in _SENTENCE.split(text) if (w := words_of(s))], bool(toxic), zlib.crc32(text.encode("utf-8", "replace")))
+
+
+def _kernel_machine(bad: Counter[str], good: dict[str, float], landmarks: list[str]) -> Model:
+    """A support vector machine of witness words against clean ones, in the landmarks' space."""
+    marks = _unit([p for w in landmarks for p in _parts(w)])
+    gram = _against([p for w in landmarks for p in _parts(w)], marks).astype(np.float64)
+    value, vector = np.linalg.eigh((gram + gram.T) / 2)
+    root = vector * (np.maximum(value, 1e-3) ** -0.5) @ vector.T
+    rows = [(p, 1.0, float(min(n, 20)) / len(ps)) for w, n in sorted(bad.items()) for ps in [_parts(w)] for p in ps]
+    n_bad = len(rows)
+    rows += [(p, -1.0, cost) for w, cost in sorted(good.items()) for p in _parts(w)]
+    y, cost = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    cost[:n_bad] *= 0.35 * cost[n_bad:].sum() / cost[:n_bad].sum()
+    weight, bias = _linear_svm(_against([r[0] for r in rows], marks) @ root, y, cost)
+    table_ = np.zeros(1 << TABLE_BITS, np.float32)
+    for slot, w, c in zip(*marks, root @ weight):
+        np.add.at(table_, slot, (w * c).astype(np.float32))
+    return Model(table_, bias, np.zeros(6), bias)
+
+
+def fit_labelled(rows: list[Labelled], landmarks: int = 96, confused: int = 24, rounds: int = 4) -> Model | None:
+    """Fit on labelled texts; None unless both labels occur. Every third text only calibrates.
+
+    After each round the clean words that the machine takes for toxic ones in most clean
+    texts become landmarks as well, so that it can tell them from the insults they resemble.
+    """
+    docs = [r.words for r in rows]
+    held = [r.digest % 3 == 0 for r in rows]
+    own = list({r.digest: i for i, r in reversed(list(enumerate(rows))) if not held[i]}.values())  # copies count once
+    pos, neg = sorted(i for i in own if rows[i].toxic), sorted(i for i in own if not rows[i].toxic)
     if not pos or not neg:
         return None
     in_pos, in_neg = Counter(w for i in pos for w in docs[i]), Counter(w for i in neg for w in docs[i])
@@ -206,65 +245,74 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = 96, rounds: int = 3
     worth = {w: odds[w] * min(n, 20) ** 0.5 for w, n in in_pos.items() if n > 1 or len(pos) < 20}
     best = sorted(worth, key=lambda w: (-worth[w], w))[: landmarks // 2]
     common = sorted(in_neg, key=lambda w: (-in_neg[w], w))[: landmarks - len(best)]
-    marks = _unit([*best, *common])
-    gram = _against([*best, *common], marks).astype(np.float64)
-    value, vector = np.linalg.eigh((gram + gram.T) / 2)
-    root = vector * (np.maximum(value, 1e-3) ** -0.5) @ vector.T
+    chosen = dict.fromkeys([*best, *common])
     vocabulary = sorted(set(in_neg) | set(in_pos))
-    weight, bias, table_ = None, 0.0, np.zeros(1 << TABLE_BITS, np.float32)
-    model = Model(table_, 0.0, np.zeros(6), -1.0)
     margin = {w: float(odds.get(w, -3.0)) * (1 if w in worth else 0.2) for w in vocabulary}
-    clean: set[str] = set(common)
-    spread = [w for w in sorted(in_neg) if zlib.crc32(w.encode()) % max(1, len(in_neg) // 4000) == 0]
-    clean.update(spread)
+    model = Model(np.zeros(1 << TABLE_BITS, np.float32), 0.0, np.zeros(6), -1.0)
+    clean = set(common) | {w for w, n in in_neg.items() if n >= 0.02 * len(neg)}
+    clean.update(w for w in sorted(in_neg) if zlib.crc32(w.encode()) % max(1, len(in_neg) // 4000) == 0)
     for _ in range(rounds):
         witness: Counter[str] = Counter()
-        for i in pos:
-            top = sorted(docs[i], key=lambda w: (-margin[w], w))[:3]
-            witness.update(w for k, w in enumerate(top) if not k or margin[w] > 0)
+        for i in pos:  # of each sentence the most toxic word, of each text its most toxic sentences
+            top = sorted({max(s, key=lambda w: (margin[w], w)) for s in rows[i].sentences}, key=lambda w: (-margin[w], w))
+            likely = [w for w in top if odds[w] > 0.7]
+            witness.update(w for k, w in enumerate(likely[:3]) if not k or margin[w] > 0)
         hardest = Counter(max(docs[i], key=lambda w: (margin[w], w)) for i in neg if docs[i])
         clean.update(hardest)
-        good, bad = sorted(clean), sorted(w for w in witness if in_neg[w] * len(pos) < in_pos[w] * len(neg))
-        if not bad:
+        clean -= set(witness)
+        if not witness:
             break
-        x = _against([*bad, *good], marks) @ root
-        y = np.array([1.0] * len(bad) + [-1.0] * len(good))
-        cost = np.array([min(witness[w], 20) for w in bad] + [1.0 + in_neg[w] ** 0.5 for w in good], dtype=np.float64)
-        cost[: len(bad)] *= 0.35 * cost[len(bad) :].sum() / cost[: len(bad)].sum()
-        weight, bias = _linear_svm(x, y, cost)
-        folded = root @ weight
-        table_ = np.zeros(1 << TABLE_BITS, np.float32)
-        for s, w, c in zip(*marks, folded):
-            np.add.at(table_, s, (w * c).astype(np.float32))
-        model = Model(table_, bias, np.zeros(6), bias)
+        mistaken = sorted((w for w in hardest if margin[w] > -0.5 and w not in witness), key=lambda w: (-hardest[w], w))
+        chosen.update(dict.fromkeys(mistaken[:confused]))
+        model = _kernel_machine(witness, {w: 1.0 + in_neg[w] ** 0.5 for w in clean}, list(chosen))
         margin = dict(zip(vocabulary, model.margins(vocabulary).tolist()))
-    at = [i for i in range(len(texts)) if held[i]]
-    if sum(bool(toxic[i]) for i in at) < 50 or all(toxic[i] for i in at):
-        at = list(range(len(texts)))  # too few held back for a curve
+    at = [i for i in range(len(rows)) if held[i]]
+    if sum(rows[i].toxic for i in at) < 50 or all(rows[i].toxic for i in at):
+        at = list(range(len(rows)))  # too few held back for a curve
     words = sorted(set().union(*(docs[i] for i in at)))
     margin = dict(zip(words, model.margins(words).tolist()))
     seen_by = np.array([model.evidence([margin[w] for w in docs[i]]) for i in at])
-    model.curve = _logistic(seen_by, np.array([1 if toxic[i] else -1 for i in at]))
+    model.curve = _logistic(seen_by, np.array([1 if rows[i].toxic else -1 for i in at]))
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, usable, max_rows: int = 2400, max_chars: int = 10_000) -> tuple[list[str], list[int]]:
+def fit(texts: list[str], toxic: list[int], **parameters) -> Model | None:
+    return fit_labelled([Labelled.of(t, y) for t, y in zip(texts, toxic)], **parameters)
+
+
+def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole texts to the distinct words of their sentences, which are all that training reads."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 200):
+            part = batch.slice(k, 200)
+            rows = [Labelled.of(t or "", 0) for t in part.column(2).to_pylist()]
+            words, digests = [], []
+            for r in rows:
+                kept = list({frozenset(s): None for s in r.sentences})
+                words.append("\n".join(sorted(" ".join(sorted(s)) for s in kept)))
+                digests.append(r.digest)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(words), pa.array(digests, pa.int64())], names=["doc_id", "toxic", "words", "digest"])
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, usable, max_rows: int = 2400) -> list[Labelled]:
     """At most ``max_rows`` labelled texts for training, half of them toxic if there are so many.
 
     Label rows are chosen first, by a hash of their id, so only they meet the documents:
-    a broadcast of at most ``max_rows`` ids and one scan. Training reads the first
-    ``max_chars`` characters of a text. Rows with two labels count as toxic if either is.
+    a broadcast of at most ``max_rows`` ids and one scan. Texts are read whole. Rows with
+    two labels count as toxic if either is; of rows with one id the first by its text counts.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropna().where(usable).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     mixed = F.xxhash64(F.lit("train"), "doc_id")
     chosen = [r for kind in (1, 0) for r in known.where(F.col("toxic") == kind).orderBy(mixed, "doc_id").limit(max_rows // 2).collect()]
     if not chosen:
-        return [], []
+        return []
     ids = spark.createDataFrame([(r.doc_id, r.toxic) for r in chosen], "doc_id long, toxic int")
-    rows = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, max_chars).alias("text")).join(F.broadcast(ids), "doc_id").limit(2 * max_rows).collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text))
-    return [r.text for r in rows], [r.toxic for r in rows]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "toxic", "text")
+    found = rows.mapInArrow(_sentences, "doc_id long, toxic int, words string, digest long").groupBy("doc_id").agg(F.min(F.struct("digest", "words", "toxic")).alias("r")).select("r.*").collect()
+    found.sort(key=lambda r: (r.digest, r.words, r.toxic))
+    return [Labelled([set(s.split(" ")) for s in r.words.split("\n") if s], bool(r.toxic), r.digest) for r in found]
 
 
 def _score(model: Model | None):
@@ -294,13 +342,18 @@ def _score(model: Model | None):
 
 def toxicity_scores(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` with a ``score`` column; columns of ``docs`` named so are replaced."""
+    return _scored(docs, model).select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() != "score"], "score")
+
+
+def below(docs: DataFrame, model: Model | None, threshold: float) -> DataFrame:
+    """The rows of ``docs`` that score less, with all their columns."""
+    return _scored(docs, model).where(F.col("score") < threshold).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def _scored(docs: DataFrame, model: Model | None) -> DataFrame:
     bounded_batches(docs.sparkSession)
-    docs = docs.drop("score")
-    schema = docs.schema
-    fields = schema.fieldNames()
-    packed = docs.select(F.struct(*[docs[c] for c in fields]).alias("row"), docs["text"])
-    out = packed.mapInArrow(_score(model), StructType([StructField("row", schema), StructField("score", DoubleType())]))
-    return out.select(*[F.col("row").getField(c).alias(c) for c in fields], "score")
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"])
+    return packed.mapInArrow(_score(model), StructType([packed.schema["row"], StructField("score", DoubleType())]))
 
 
 def not_held_out(column: str = "doc_id"):
@@ -309,11 +362,10 @@ def not_held_out(column: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    texts, toxic = labelled_sample(docs, labels, not_held_out())
-    return fit(texts, toxic)
+    return fit_labelled(labelled_sample(docs, labels, not_held_out()))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity_scores(docs, train(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", (~not_held_out()).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(~not_held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

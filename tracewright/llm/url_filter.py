@@ -6,9 +6,9 @@ generated code, without a shuffle. Features are lexical: lengths, path depth, di
 symbol ratios, character entropy of the host, parameter counts, and statistics of the
 host's suffix (the smoothed log-odds of each public suffix among the labelled URLs).
 
-Training takes labelled URLs, at most ``MAX_LABELLED`` of them, on the driver. Where a
-deployment has none, ``seed_urls`` makes a labelled set by rule: hosts of advertising,
-gambling and pill shops against plain hosts, over suffixes and paths both kinds share.
+Training takes a frame of labelled URLs, at most ``MAX_LABELLED`` of them, to the driver;
+``op6_url_filter`` reads the table ``url_labels(url, label)`` beside the pages if there is
+one. Where a deployment has none, ``seed_urls`` makes a labelled set by rule.
 
 Defined cases: a null or empty URL and one without ``://`` has an empty host and path, no
 rule, and the trees' verdict on empty features (allow); null ids and repeated rows are
@@ -18,9 +18,10 @@ judged row by row; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import functools
-import itertools
+import random
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,25 +32,36 @@ MAX_LABELLED = 20_000
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 FEATURES = ["url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "symbol_ratio", "entropy", "params", "hyphens", "longest_label", "suffix_odds"]
 
-# Words that make up the host names of the seed set.
-_SHOP_WORDS = "ads bet bets bonus buy casino cheap click deal farm free loan lucky pharma pills prize promo replica sale slots spam track traffic viagra win winner".split()
-_PLAIN_WORDS = "academy archive atlas bakery bridge city college daily forest garden harbor history journal lake library market meadow museum music news north open paper people river school science story studio summit village weather works".split()
-_SUFFIXES = "com org net info biz top co.uk edu".split()
+# Words and endings that labelled hosts are made of.
+_LURES = "account alert bonus cash casino cheap click coupon credit deal discount free gift instant login loan lucky meds offer pills prize promo replica reward secure slots update verify viagra winner".split()
+_TOPICS = "academy archive astronomy bakery blog books bridge city college community courier daily docs forest forum garden guide harbor health history journal kitchen library market museum music news photos politics recipes research review science sports studio summit travel university weather wiki".split()
+_COMMON_ENDINGS = "com org net edu gov de fr es co.uk io".split()
+_CHEAP_ENDINGS = "top xyz click info biz com net org".split()
+_PLAIN_PATHS = ["/", "/about", "/{year}/{n}/{topic}", "/{topic}/{topic2}.html", "/article/{n}", "/{topic}?page={n}", "/search?q={topic}&sort=date", "/en/{topic}/", "/{topic}#section{n}"]
+_LURE_PATHS = ["/", "/{lure}/{lure2}", "/{n}{n2}/", "/{lure}.php?id={n}{n2}&aff={n}", "/go?u={n2}&src={lure}&c={n}", "/{lure}-{lure2}-{n}", "/?ref={n}", "/l/{n}{n2}{n}"]
 
 
-def seed_urls() -> list[tuple[str, int]]:
-    """Labelled URLs by rule: 1 to block, 0 to allow."""
+def seed_urls(n: int = 4000) -> list[tuple[str, int]]:
+    """Labelled URLs by rule, 1 to block and 0 to allow, where a deployment has none of its own.
+
+    Blocked hosts chain words that lure, with hyphens, numbers and cheap endings more often;
+    allowed ones are topics, also two of them, and institutions. Both have every kind of
+    prefix and ending at times, so no single feature decides.
+    """
     out = []
-    paths = ["/", "/en/17", "/de/240.html", "/a/b/c", "/fr/12?page=2&ref=x", "/en/9?utm_source=feed", "/post/2021/05/item", "/es/77#top"]
-    prefixes = ["", "www.", "m.", "blog."]
-    pick = itertools.count()
-    for a, b in itertools.permutations(_SHOP_WORDS, 2):
-        k = next(pick)
-        host = f"{a}-{b}" if k % 3 else f"{a}{b}{k % 100}"
-        out.append((f"http{'s' * (k % 2)}://{prefixes[k % 4]}{host}.{'example.' * (k % 2)}{_SUFFIXES[k % 6]}{paths[k % 8]}", 1))
-    for k, (a, b) in enumerate(itertools.permutations(_PLAIN_WORDS, 2)):
-        host = a if k % 3 == 0 else f"{a}{b[:3]}"
-        out.append((f"http{'s' * (k % 3 > 0)}://{prefixes[k % 4]}{host}.{'example.' * (k % 2)}{_SUFFIXES[k % 8]}{paths[(k // 3) % 8]}", 0))
+    for k in range(n):
+        r = random.Random(f"url {k}")
+        bad = k % 2
+        some = r.sample(_LURES if bad else _TOPICS, 3)
+        names = {"n": r.randrange(1, 1000), "n2": r.randrange(1000, 10**6), "year": r.randrange(1999, 2026), "lure": some[1], "lure2": some[2], "topic": some[1], "topic2": some[2]}
+        if bad:
+            host = r.choice(["-", "-", "", ""]).join(some[: r.choice([1, 2, 2, 3])]) + r.choice(["", "", str(r.randrange(10, 9999))])
+        else:
+            host = r.choice(["", "", "", "-"]).join([*some[: r.choice([1, 1, 2])]]) + r.choice(["", "", "", "s", str(r.randrange(1, 60))])
+        prefix = r.choice(["", "", "www.", "www.", "m.", "blog.", "shop.", f"{some[2]}."])
+        ending = r.choice(_CHEAP_ENDINGS if bad else _COMMON_ENDINGS)
+        path = r.choice(_LURE_PATHS if bad else _PLAIN_PATHS).format(**names)
+        out.append((f"{r.choice(['http', 'https'])}://{prefix}{host}.{ending}{path}", bad))
     return out
 
 
@@ -195,6 +207,19 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], model, thr
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("score") >= threshold, "block").otherwise("allow")).alias("verdict"), "score")
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the filter that SQL can express: host, path and rule."""
+    host, path = host_and_path(F.col("url"))
+    rows = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"))
+    return rows.withColumn("rule", rule_and_verdict(F.col("host"), F.col("path"), RULES)[0])
+
+
+def labelled_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    try:
+        return table(spark, sf_dir, "url_labels").select("url", "label")
+    except AnalysisException:  # no such table
+        return spark.createDataFrame(seed_urls(), "url string, label int")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = train(spark.createDataFrame(seed_urls(), "url string, label int"))
-    return url_verdicts(table(spark, sf_dir, "pages"), RULES, model)
+    return url_verdicts(table(spark, sf_dir, "pages"), RULES, train(labelled_urls(spark, sf_dir)))
