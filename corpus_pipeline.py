@@ -11,25 +11,37 @@ id alone.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import materialize, table
+from tracewright.llm.common import materialize, release, table
 from tracewright.llm.decontaminate import without_leaks
 from tracewright.llm.ngram_join import one_of_each
 from tracewright.llm.packing import pack_documents
-from tracewright.llm.pii import KINDS, pseudonymize
+from tracewright.llm.pii import pseudonymize
 from tracewright.llm.tokens import vocabulary_path
-from tracewright.llm.toxicity import toxicity_scores, train
+from tracewright.llm.toxicity import below, train
 
 #: Documents that score this much are rejected.
 TOXIC = 0.3
 
 
+#: The setting that holds the secret key of pseudonyms.
+PSEUDONYM_KEY = "spark.tracewright.pseudonym.key"
+
+
+def pseudonym_key(spark: SparkSession) -> bytes:
+    """The session's secret key; without one a random key, whose pseudonyms link within this run alone."""
+    named = spark.conf.get(PSEUDONYM_KEY, None)
+    return named.encode() if named else os.urandom(32)
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity threshold."""
     model = train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity_scores(docs, model).where(F.col("score") < TOXIC).select(docs.columns)
+    return below(docs, model, TOXIC)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +56,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with pseudonyms for personal data."""
-    out = pseudonymize(docs).drop(*(f"n_{kind}" for kind in KINDS if f"n_{kind}" not in docs.columns))
+    out = pseudonymize(docs, pseudonym_key(spark), counted=False)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
@@ -60,8 +72,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs, _ = materialize(docs, f"pipeline-{name}")
+            docs, path = materialize(docs, f"pipeline-{name}")
+            if before:
+                release(spark, before)  # what the stage after next reads is written
+            before = path
     return docs
