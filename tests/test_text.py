@@ -80,23 +80,6 @@ def test_two_validators_differ():
     assert C.call_errors_b("no json") is None and C.reason_a("x") == "invalid_json"
 
 
-def test_dialects():
-    p = lambda t: (c := C.parse_call(t)) and (c["tool_name"], c["arguments"], c["dialect"])
-    assert p("<tool_call><function=execute_bash><parameter=command>ls &lt;a</parameter></function></tool_call>") == ("execute_bash", {"command": "ls <a"}, "tagged")
-    assert p("<function=finish></function>")[2] == "function"
-    assert p("<execute_bash><command>ls</command></execute_bash>") == ("execute_bash", {"command": "ls"}, "direct")
-    assert p('<invoke name="run_tests"><parameter name="command">x</parameter></invoke>') == ("run_tests", {"command": "x"}, "invoke")
-    assert p('<tool_call name="finish">{"arguments": {"a": 1}}</tool_call>') == ("finish", {"a": 1}, "qwen")
-    assert p("```bash\nls\n```") == ("execute_bash", {"command": "ls"}, "fence")
-    assert p('I call {"tool_name": "finish", "arguments": {}} now')[2] == "json"
-    assert p('{"tool_name": "finish", "arguments": {"a": [1') == ("finish", {"a": [1]}, "json")
-    assert p('{"tool_name": "finish", "arguments: {}}')[0] == "finish"
-    assert p("<function=finish>") == ("finish", {}, "partial") and p("$ ls -a") == ("execute_bash", {"command": "ls -a"}, "shell")
-    assert p("The task is complete.")[2] == "intent" and p("Error: The task is complete.") is None and p("hello") is None
-    both = "<execute_bash><command>a</command></execute_bash><tool_call><function=finish></function></tool_call>"
-    assert [c["tool_name"] for c in C.parse_all(both)] == ["finish", "execute_bash"]
-
-
 def test_json_tools():
     assert C.canonical_json('{"b":1,"a":"é\\u001b"}') == '{"a":"é\\u001b","b":1}'
     assert C.literal("{'a': (1, None)}") == {"a": (1, None)} and C.literal("{") is None

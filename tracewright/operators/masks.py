@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.toolcalls import CATALOG, compact_arguments, parse_call, reason_a
+from ..functions.dialects import parse_call
+from ..functions.toolcalls import CATALOG, compact_arguments, reason_a
 from ..functions.tokenizers import ByteTokenizer, Tokenizer, render
 
 MASKED = -100
