@@ -83,7 +83,7 @@ def test_writers(spark, tmp_path):
 def test_ragged_store(spark):
     rows = spark.createDataFrame([(0, 0, 2, [1, 2]), (1, 2, 3, [3, 4, 5])], "record_index int, offset long, num_tokens int, input_ids array<int>")
     blocks = writers.concatenated(rows)
-    back = readers.ragged_slices(spark, rows.drop("input_ids"), blocks)
+    back = readers.ragged_slices(rows.drop("input_ids"), blocks)
     assert {r.record_index: r.input_ids for r in back.collect()} == {0: [1, 2], 1: [3, 4, 5]}
 
 

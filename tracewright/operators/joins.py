@@ -52,13 +52,18 @@ def require_subset(left: DataFrame, right: DataFrame, on: str) -> None:
         raise ValueError(f"ids of {on} are missing")
 
 
+def in_several(rows: DataFrame, on: str, part: str, name: str = "parts") -> DataFrame:
+    """Ids that occur in more than one part, with the number of parts."""
+    return rows.groupBy(on).agg(F.count_distinct(part).alias(name)).where(F.col(name) > 1)
+
+
 def require_disjoint(frames: dict[str, DataFrame], on: str) -> None:
     """No id may occur in two of the frames: one aggregation over all of them."""
     rows = None
     for name, f in frames.items():
-        part = f.select(on, F.lit(name).alias("_part")).distinct()
+        part = f.select(on, F.lit(name).alias("_part"))
         rows = part if rows is None else rows.unionByName(part)
-    if not (both := rows.groupBy(on).count().where("count > 1")).isEmpty():
+    if not (both := in_several(rows, on, "_part")).isEmpty():
         raise ValueError(f"{on} in several parts, e.g. {both.first()[0]}")
 
 

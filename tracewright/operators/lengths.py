@@ -36,10 +36,16 @@ def longest(rows: DataFrame, n: int = 20, column: str = "num_tokens", key: str =
 
 def floor_rank_summary(rows: DataFrame, column: str, by: list[str]) -> DataFrame:
     """Least, mean, middle (averaging two), p90 by the rank rounded down, most."""
-    values = F.array_sort(F.collect_list(column))
-    at = F.greatest(F.floor(0.9 * F.size("v")).cast("int"), F.lit(1))
-    g = rows.groupBy(*by).agg(values.alias("v"), F.round(F.avg(column), 3).alias("mean"), F.expr(f"percentile({column}, 0.5)").alias("median"))
-    return g.select(*by, F.element_at("v", 1).alias("least"), "mean", "median", F.element_at("v", at).alias("p90"), F.element_at("v", -1).alias("most"))
+    # counts by value, so a group is as large as its distinct values
+    counts = rows.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*by).orderBy(column)
+    total = F.sum("n").over(Window.partitionBy(*by))
+    c = counts.withColumns({"upto": F.sum("n").over(w), "total": total})
+    at = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col(column)))
+    half = (at(F.floor((F.col("total") + 1) / 2)) + at(F.floor(F.col("total") / 2) + 1)) / 2
+    p90 = at(F.greatest(F.floor(0.9 * F.col("total")), F.lit(1)))
+    mean = F.round(F.sum(F.col(column) * F.col("n")) / F.sum("n"), 3)
+    return c.groupBy(*by).agg(F.min(column).alias("least"), mean.alias("mean"), half.cast("double").alias("median"), p90.alias("p90"), F.max(column).alias("most"))
 
 
 def running_offset(rows: DataFrame, order: str, size: str = "num_tokens", by: list[str] | None = None) -> DataFrame:

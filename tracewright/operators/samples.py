@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_any, first_match, or_default
+from . import ordered
 
 # Statuses of agents and verifiers.
 NON_TRAINABLE = ["context_overflow", "model_api_failure", "parse_error", "infrastructure_blocked", "runner_error"]
@@ -122,8 +123,8 @@ def preflight(candidates: DataFrame, limit: int | None = None) -> DataFrame:
     best = best.withColumn("image", F.when(F.col("runnable"), F.col("image")))
     if limit is None:
         return best
-    before = F.sum(F.col("runnable").cast("int")).over(Window.orderBy("task_order").rowsBetween(Window.unboundedPreceding, -1))
-    return best.withColumn("_b", F.coalesce(before, F.lit(0))).where(F.col("_b") < limit).drop("_b")
+    counted = ordered.running_sum(best.withColumn("_one", F.col("runnable").cast("int")), "task_order", "_one", "_b")
+    return counted.where(F.col("_b") < limit).drop("_b", "_one")
 
 
 def split_policy(split: Column | str) -> Column:
@@ -213,8 +214,10 @@ def compare_runs(rows: DataFrame, run: str = "run") -> DataFrame:
 
 def renumber_rollouts(rows: DataFrame, file_order: str = "file_order") -> DataFrame:
     """One running sample index over several result files."""
-    w = Window.partitionBy("dataset").orderBy(file_order, "sample_index")
-    return rows.withColumn("rollout", F.dense_rank().over(w))
+    # ranks of the few distinct pairs, not a window over all rows of a dataset
+    pairs = rows.select("dataset", file_order, "sample_index").distinct()
+    numbered = pairs.withColumn("rollout", F.row_number().over(Window.partitionBy("dataset").orderBy(file_order, "sample_index")))
+    return rows.join(numbered, ["dataset", file_order, "sample_index"])
 
 
 def combined_accuracy(rows: DataFrame) -> DataFrame:
@@ -255,13 +258,13 @@ def normal_ci(values: DataFrame, column: str) -> DataFrame:
     return values.agg(F.round(mean, 6).alias("mean"), F.round(F.greatest(F.lit(0.0), mean - half), 6).alias("low"), F.round(F.least(F.lit(1.0), mean + half), 6).alias("high"))
 
 
-def failures(rows: DataFrame, limit: int = 20, **equal: str) -> DataFrame:
-    """Unresolved rows by category, dataset and id; ``n_total`` counts them before the limit."""
+def failures(rows: DataFrame, limit: int = 20, order: list[str] | None = None, **equal: str) -> DataFrame:
+    """Unresolved rows by ``order`` (category, dataset and id); ``n_total`` counts them before the limit."""
     out = rows.where(~is_resolved(F.col("benchmark_resolved"), F.col("verifier_status")))
     for k, v in equal.items():
         out = out.where(F.col(k) == v)
     total = out.agg(F.count("*").alias("n_total"))
-    return out.orderBy("category", "dataset", "instance_id").limit(limit).crossJoin(F.broadcast(total))  # one row
+    return out.orderBy(*(order or ["category", "dataset", "instance_id"])).limit(limit).crossJoin(F.broadcast(total))  # one row
 
 
 def suite_report(results: DataFrame) -> DataFrame:
@@ -278,8 +281,8 @@ def readiness(tasks: DataFrame, expected: dict[str, int]) -> DataFrame:
 
 def flatten_series(rows: DataFrame) -> DataFrame:
     """A run of several rounds is a series for each; of one round, a series by itself."""
-    several = F.size(F.collect_set("round").over(Window.partitionBy("run"))) > 1
-    return rows.withColumn("series", F.when(several, F.concat_ws(" #", "run", "round")).otherwise(F.col("run")))
+    rounds = rows.groupBy("run").agg((F.min("round") < F.max("round")).alias("several"))
+    return rows.join(rounds, "run").withColumn("series", F.when(F.col("several"), F.concat_ws(" #", "run", "round")).otherwise(F.col("run"))).drop("several")
 
 
 def trace_verdict(exit_code: Column, fail_to_pass: Column, pass_to_pass: Column) -> Column:

@@ -32,6 +32,7 @@ def hash_first(df: DataFrame, seed: str, key: str, n: int) -> DataFrame:
 def round_robin(df: DataFrame, group: str, kind: str, seed: str, key: str, n: int, strict: bool = False) -> DataFrame:
     """``n`` rows of each group, taken in turn from its kinds in hash order."""
     inside = df.withColumn("kind_rank", F.row_number().over(Window.partitionBy(group, kind).orderBy(stable_score(seed, key), key)))
+    inside = inside.where(F.col("kind_rank") <= n)  # no kind gives more than all of them
     turn = Window.partitionBy(group).orderBy("kind_rank", stable_score(seed, kind), kind)
     out = inside.withColumn("pick", F.row_number().over(turn)).where(F.col("pick") <= n)
     if strict:

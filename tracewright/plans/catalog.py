@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import dialects as D
 from ..functions import text as T
 from ..functions import toolcalls as C
 from ..operators import conversations as V
@@ -49,7 +50,7 @@ count(*) FILTER (WHERE benchmark_resolved) AS resolved FROM v_samples GROUP BY i
 
 @query(f", {_TASKS} SELECT instance_id, dataset, present, valid, resolved, complete, round(pass_at_1, 6) AS pass_at_1, round(pass_at_3, 6) AS pass_at_3, round(pass_at_5, 6) AS pass_at_5 FROM tasks", "v_samples")
 def pass_at_k_tasks(spark, d):
-    out = S.pass_at_k_tasks(W.samples(spark, d), [1, 3, 5], 5)
+    out = S.pass_at_k_tasks(W.samples(spark, d, 5), [1, 3, 5], 5)
     return out.withColumns({f"pass_at_{k}": F.round(f"pass_at_{k}", 6) for k in (1, 3, 5)})
 
 
@@ -59,7 +60,7 @@ def pass_at_k_tasks(spark, d):
     "v_samples",
 )
 def pass_at_k_aggregate(spark, d):
-    return S.pass_at_k_aggregate(S.pass_at_k_tasks(W.samples(spark, d), [1, 3, 5], 5), [1, 3, 5], "dataset")
+    return S.pass_at_k_aggregate(S.pass_at_k_tasks(W.samples(spark, d, 5), [1, 3, 5], 5), [1, 3, 5], "dataset")
 
 
 _OUTCOME = """CASE WHEN coalesce(benchmark_resolved, lower(verifier_status) = 'resolved') THEN 'resolved'
@@ -93,14 +94,14 @@ def by_round_grouping_sets(spark, d):
     return S.summary(W.samples(spark, d, None), ["round"], ["round", "dataset"], [])
 
 
-@query("SELECT count(*) AS tasks, count(*) FILTER (WHERE s) AS covered, round(count(*) FILTER (WHERE s)::DOUBLE / count(*), 6) AS coverage FROM (SELECT instance_id, bool_or(coalesce(benchmark_resolved, false)) AS s FROM v_samples GROUP BY 1)", "v_samples")
+@query("SELECT count(*) AS tasks, count(*) FILTER (WHERE s) AS covered, round(count(*) FILTER (WHERE s)::DOUBLE / count(*), 6) AS coverage FROM (SELECT instance_id, bool_or(coalesce(benchmark_resolved, false)) AS s FROM v_all GROUP BY 1)", "v_samples")
 def coverage(spark, d):
-    return S.coverage(W.samples(spark, d))
+    return S.coverage(W.samples(spark, d, None))
 
 
-@query("SELECT successes, count(*) AS tasks FROM (SELECT instance_id, count(*) FILTER (WHERE benchmark_resolved) AS successes FROM v_samples GROUP BY 1) GROUP BY 1", "v_samples")
+@query("SELECT successes, count(*) AS tasks FROM (SELECT instance_id, count(*) FILTER (WHERE benchmark_resolved) AS successes FROM v_all GROUP BY 1) GROUP BY 1", "v_samples")
 def coverage_histogram(spark, d):
-    return S.success_histogram(W.samples(spark, d))
+    return S.success_histogram(W.samples(spark, d, None))
 
 
 @query("SELECT count(*) - count(DISTINCT (instance_id, round)) AS duplicates FROM v_all", "v_samples")
@@ -129,12 +130,12 @@ def status_counts(spark, d):
 
 
 @query(
-    """, p AS (SELECT instance_id, avg(CASE WHEN benchmark_resolved THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS x FROM v_samples GROUP BY 1), h AS (SELECT avg(x) AS m, 1.96 * stddev_samp(x) / sqrt(count(x)) AS w FROM p)
+    """, p AS (SELECT instance_id, avg(CASE WHEN benchmark_resolved THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS x FROM v_all GROUP BY 1), h AS (SELECT avg(x) AS m, 1.96 * stddev_samp(x) / sqrt(count(x)) AS w FROM p)
 SELECT round(m, 6) AS mean, round(greatest(0.0, m - w), 6) AS low, round(least(1.0, m + w), 6) AS high FROM h""",
     "v_samples",
 )
 def normal_ci(spark, d):
-    per = W.samples(spark, d).groupBy("instance_id").agg(F.avg(F.when(F.col("benchmark_resolved"), 1.0).otherwise(0.0)).alias("x"))
+    per = W.samples(spark, d, None).groupBy("instance_id").agg(F.avg(F.when(F.col("benchmark_resolved"), 1.0).otherwise(0.0)).alias("x"))
     return S.normal_ci(per, "x")
 
 
@@ -442,23 +443,21 @@ def term_extraction(spark, d):
     return W.table(spark, d, "benchmark").select("item_id", F.size(t).cast("bigint").alias("terms"), F.size(F.array_distinct(t)).cast("bigint").alias("distinct_terms"))
 
 
-@query("SELECT dataset, count(*) AS seen, count(benchmark_resolved) AS valid, count(*) FILTER (WHERE benchmark_resolved) AS resolved, count(*) FILTER (WHERE benchmark_resolved IS NULL) AS blocked, round(100.0::DOUBLE * count(benchmark_resolved) / 500, 6) AS percent FROM v_samples GROUP BY 1", "v_samples")
+@query("SELECT dataset, count(*) AS seen, count(benchmark_resolved) AS valid, count(*) FILTER (WHERE benchmark_resolved) AS resolved, count(*) FILTER (WHERE benchmark_resolved IS NULL) AS blocked, round(100.0::DOUBLE * count(benchmark_resolved) / 500, 6) AS percent FROM v_all GROUP BY 1", "v_samples")
 def live_progress(spark, d):
-    return monitor.progress(W.samples(spark, d), 500)
+    return monitor.progress(W.samples(spark, d, None), 500)
 
 
-@query(f"SELECT instance_id, {_OUTCOME} AS category, dataset, sample_index, count(*) OVER () AS n_total FROM v_samples WHERE NOT coalesce(benchmark_resolved, lower(verifier_status) = 'resolved') ORDER BY category, dataset, instance_id, sample_index LIMIT 25", "v_samples")
+@query(f"SELECT instance_id, {_OUTCOME} AS category, dataset, sample_index, count(*) OVER () AS n_total FROM v_all WHERE NOT coalesce(benchmark_resolved, lower(verifier_status) = 'resolved') ORDER BY category, dataset, instance_id, sample_index LIMIT 25", "v_samples")
 def failures_top(spark, d):
-    rows = S.outcome_label(W.samples(spark, d)).withColumnRenamed("outcome", "category")
-    total = rows.where(~S.is_resolved(F.col("benchmark_resolved"), F.col("verifier_status")))
-    return total.orderBy("category", "dataset", "instance_id", "sample_index").limit(25).crossJoin(F.broadcast(total.agg(F.count("*").alias("n_total")))).select("instance_id", "category", "dataset", "sample_index", "n_total")
+    rows = S.outcome_label(W.samples(spark, d, None)).withColumnRenamed("outcome", "category")
+    return S.failures(rows, 25, ["category", "dataset", "instance_id", "sample_index"]).select("instance_id", "category", "dataset", "sample_index", "n_total")
 
 
 @query("SELECT source, count(DISTINCT lang) AS langs FROM documents GROUP BY 1 HAVING count(DISTINCT lang) > 1")
 def disjointness(spark, d):
     """Groups that occur in several parts."""
-    docs = W.table(spark, d, "documents")
-    return docs.groupBy("source").agg(F.count_distinct("lang").alias("langs")).where("langs > 1")
+    return J.in_several(W.table(spark, d, "documents"), "source", "lang", "langs")
 
 
 @query(
@@ -487,35 +486,35 @@ def last_wins(spark, d):
     return readers.last_wins(W.table(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
 
 
-@query("SELECT instance_id, min(CASE WHEN event_type = 'click' THEN sample_index END) AS image, bool_or(event_type = 'click') AS runnable, count(*) AS attempts FROM v_samples GROUP BY 1", "v_samples")
+@query("SELECT instance_id, min(CASE WHEN event_type = 'click' THEN sample_index END) AS image, bool_or(event_type = 'click') AS runnable, count(*) AS attempts FROM v_all GROUP BY 1", "v_samples")
 def preflight_first_usable(spark, d):
-    c = W.samples(spark, d).select(F.col("user_id").alias("task_order"), "instance_id", F.col("sample_index").alias("image"), F.col("sample_index").alias("ord"), (F.col("event_type") == "click").alias("ok"))
+    c = W.samples(spark, d, None).select(F.col("user_id").alias("task_order"), "instance_id", F.col("sample_index").alias("image"), F.col("sample_index").alias("ord"), (F.col("event_type") == "click").alias("ok"))
     return S.preflight(c).select("instance_id", "image", "runnable", "attempts")
 
 
-@query("SELECT event_id, dense_rank() OVER (PARTITION BY dataset ORDER BY round, sample_index) AS rollout FROM v_samples", "v_samples")
+@query("SELECT event_id, dense_rank() OVER (PARTITION BY dataset ORDER BY round, sample_index) AS rollout FROM v_all", "v_samples")
 def renumber_rollouts(spark, d):
-    return S.renumber_rollouts(W.samples(spark, d), "round").select("event_id", F.col("rollout").cast("bigint").alias("rollout"))
+    return S.renumber_rollouts(W.samples(spark, d, None), "round").select("event_id", F.col("rollout").cast("bigint").alias("rollout"))
 
 
 @query(
     """SELECT count(*) AS tasks, count(*) FILTER (WHERE a) AS solved_any, count(*) FILTER (WHERE c) AS solved_current, round(count(*) FILTER (WHERE a)::DOUBLE / count(*), 6) AS accuracy FROM (SELECT instance_id, bool_or(coalesce(benchmark_resolved, false)) AS a,
-bool_or(coalesce(benchmark_resolved AND round >= 2, false)) AS c FROM v_samples GROUP BY 1)""",
+bool_or(coalesce(benchmark_resolved AND round >= 2, false)) AS c FROM v_all GROUP BY 1)""",
     "v_samples",
 )
 def combined_accuracy(spark, d):
-    s = W.samples(spark, d)
+    s = W.samples(spark, d, None)
     return S.combined_accuracy(J.union_all({"legacy": s.where("round < 2"), "current": s.where("round >= 2")}))
 
 
 @query(
-    """, x AS (SELECT event_id, agent_status, CASE WHEN event_type = 'signup' THEN 'blocked_missing_patch' ELSE verifier_status END AS v, CASE WHEN event_type = 'signup' THEN NULL ELSE benchmark_resolved END AS r FROM v_samples)
+    """, x AS (SELECT event_id, agent_status, CASE WHEN event_type = 'signup' THEN 'blocked_missing_patch' ELSE verifier_status END AS v, CASE WHEN event_type = 'signup' THEN NULL ELSE benchmark_resolved END AS r FROM v_all)
 SELECT event_id, CASE WHEN agent_status = 'infrastructure_blocked' THEN NULL WHEN r IS NULL AND v = 'blocked_missing_patch' THEN false ELSE r END AS benchmark_resolved,
 CASE WHEN agent_status = 'infrastructure_blocked' THEN false WHEN r IS NULL AND v = 'blocked_missing_patch' THEN true ELSE r IS NOT NULL END AS sample_valid, CASE WHEN r IS NULL AND v = 'blocked_missing_patch' THEN 'model_failure_' || agent_status ELSE v END AS verifier_status FROM x""",
     "v_samples",
 )
 def classify_samples(spark, d):
-    s = W.samples(spark, d)
+    s = W.samples(spark, d, None)
     lost = F.col("event_type") == "signup"
     raw = s.withColumn("verifier_status", F.when(lost, "blocked_missing_patch").otherwise(F.col("verifier_status"))).withColumn("benchmark_resolved", F.when(lost, None).otherwise(F.col("benchmark_resolved")))
     return S.classify_sample(raw).select("event_id", "benchmark_resolved", "sample_valid", "verifier_status")
@@ -529,9 +528,9 @@ def failure_buckets(spark, d):
 _TIER = "CASE WHEN user_id % 6 > 3 THEN 'C' WHEN user_id % 4 > 0 OR user_id % 5 = 0 THEN 'B' ELSE 'A' END"
 
 
-@query(f"SELECT instance_id, tier, CASE tier WHEN 'A' THEN 1.0 WHEN 'B' THEN 0.5 ELSE 0.0 END::DOUBLE AS sample_weight, CASE tier WHEN 'A' THEN 'primary' WHEN 'B' THEN 'optional' ELSE 'quarantine' END AS part FROM (SELECT DISTINCT instance_id, {_TIER} AS tier FROM v_samples)", "v_samples")
+@query(f"SELECT instance_id, tier, CASE tier WHEN 'A' THEN 1.0 WHEN 'B' THEN 0.5 ELSE 0.0 END::DOUBLE AS sample_weight, CASE tier WHEN 'A' THEN 'primary' WHEN 'B' THEN 'optional' ELSE 'quarantine' END AS part FROM (SELECT DISTINCT instance_id, {_TIER} AS tier FROM v_all)", "v_samples")
 def delivery_parts(spark, d):
-    tasks = W.samples(spark, d).select("instance_id", "user_id").distinct()
+    tasks = W.samples(spark, d, None).select("instance_id", "user_id").distinct()
     tiered = tasks.withColumn("tier", V.quality_tier(F.col("user_id") % 6, F.col("user_id") % 4, F.col("user_id") % 5 == 0))
     return V.deliver(tiered.limit(0).drop("tier"), tiered).select("instance_id", "tier", "sample_weight", "part")
 
@@ -554,9 +553,9 @@ def usage_totals(spark, d):
     return S.usage_totals(e, ["cached", "prompt"], {"cached": "other"})
 
 
-@query("SELECT DISTINCT CASE WHEN n > 1 THEN dataset || ' #' || CAST(round AS VARCHAR) ELSE dataset END AS series FROM (SELECT dataset, round, len(list_distinct(list(round) OVER (PARTITION BY dataset))) AS n FROM v_samples WHERE dataset <> 'repository' OR round = 1)", "v_samples")
+@query("SELECT DISTINCT CASE WHEN n > 1 THEN dataset || ' #' || CAST(round AS VARCHAR) ELSE dataset END AS series FROM (SELECT dataset, round, len(list_distinct(list(round) OVER (PARTITION BY dataset))) AS n FROM v_all WHERE dataset <> 'repository' OR round = 1)", "v_samples")
 def series_flattening(spark, d):
-    s = W.samples(spark, d).where("dataset != 'repository' or round = 1").withColumn("run", F.col("dataset"))
+    s = W.samples(spark, d, None).where("dataset != 'repository' or round = 1").withColumn("run", F.col("dataset"))
     return S.flatten_series(s).select("series").distinct()
 
 
@@ -572,20 +571,20 @@ def value_set_summary(spark, d):
     return E.value_set_summary(rows).withColumnRenamed("dataset_family", "lang")
 
 
-@query("SELECT dataset, count(DISTINCT instance_id) AS tasks, count(DISTINCT repo) AS repos FROM v_samples GROUP BY 1", "v_samples")
+@query("SELECT dataset, count(*) AS tasks, count(*) FILTER (WHERE gold) AS gold_passed, count(DISTINCT repo) AS repos, count(*) = CASE dataset WHEN 'repository' THEN 1 ELSE 0 END AND count(*) FILTER (WHERE gold) = count(*) AS ready FROM (SELECT instance_id, dataset, repo, bool_or(coalesce(benchmark_resolved, false)) AS gold FROM v_all GROUP BY 1, 2, 3) GROUP BY 1", "v_samples")
 def readiness_counts(spark, d):
-    tasks = W.samples(spark, d).select("instance_id", "dataset", "repo").distinct().withColumn("gold_passed", F.lit(True))
-    return S.readiness(tasks, {}).select("dataset", "tasks", "repos")
+    tasks = W.samples(spark, d, None).groupBy("instance_id", "dataset", "repo").agg(F.bool_or(F.coalesce("benchmark_resolved", F.lit(False))).alias("gold_passed"))
+    return S.readiness(tasks, {"repository": 1})
 
 
-@query("SELECT repo, agent_status AS kind, count(*) AS tasks FROM v_samples GROUP BY 1, 2", "v_samples")
+@query("SELECT repo, agent_status AS kind, count(*) AS tasks FROM v_all GROUP BY 1, 2", "v_samples")
 def repo_kind_audit(spark, d):
-    return E.repo_audit(W.samples(spark, d).withColumnRenamed("agent_status", "kind"))
+    return E.repo_audit(W.samples(spark, d, None).withColumnRenamed("agent_status", "kind"))
 
 
-@query("SELECT CASE WHEN instance_id LIKE '%5' THEN 'validation' ELSE 'train' END AS split, dataset AS dataset_family, count(DISTINCT repo) AS groups, (SELECT count(*) FROM (SELECT repo FROM v_samples GROUP BY repo HAVING count(DISTINCT instance_id LIKE '%5') > 1)) AS overlapping FROM v_samples GROUP BY 1, 2", "v_samples")
+@query("SELECT CASE WHEN instance_id LIKE '%5' THEN 'validation' ELSE 'train' END AS split, dataset AS dataset_family, count(DISTINCT repo) AS groups, (SELECT count(*) FROM (SELECT repo FROM v_all GROUP BY repo HAVING count(DISTINCT instance_id LIKE '%5') > 1)) AS overlapping FROM v_all GROUP BY 1, 2", "v_samples")
 def split_overlap(spark, d):
-    rows = W.samples(spark, d).select(F.when(F.col("instance_id").endswith("5"), "validation").otherwise("train").alias("split"), F.col("dataset").alias("dataset_family"), F.col("repo").alias("group_key"))
+    rows = W.samples(spark, d, None).select(F.when(F.col("instance_id").endswith("5"), "validation").otherwise("train").alias("split"), F.col("dataset").alias("dataset_family"), F.col("repo").alias("group_key"))
     return N.overlap_groups(rows)
 
 
@@ -649,7 +648,7 @@ def salvage_repair(spark, d):
 
 @query()
 def strict_clean(spark, d):
-    s = W.samples(spark, d).where("sample_index = 0").withColumn("trajectory_key", F.col("user_id").cast("string"))
+    s = W.samples(spark, d, None).where("sample_index = 0").withColumn("trajectory_key", F.col("user_id").cast("string"))
     c = _conversations_of_calls(spark, d).withColumnRenamed("trajectory_id", "trajectory_key")
     rows = s.join(c, "trajectory_key").withColumns({"exclude_from_training": F.lit(False), "data_role": F.lit("train"), "path_order": F.split("instance_id", "_")})
     return V.strict_clean(rows).select("trajectory_id", "route", "reason", "kept_id", "reward")
@@ -680,7 +679,7 @@ def update_plan(spark, d):
 @query()
 def dialect_parse(spark, d):
     c = _call_texts(spark, d)
-    return c.select("trajectory_id", "step", C.parse_first_call("content").alias("call")).select("trajectory_id", "step", "call.tool_name", "call.dialect")
+    return c.select("trajectory_id", "step", D.parse_first_call("content").alias("call")).select("trajectory_id", "step", "call.tool_name", "call.dialect")
 
 
 @query()

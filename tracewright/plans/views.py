@@ -13,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def samples(spark: SparkSession, sf_dir: str, per_task: int | None = 5) -> DataFrame:
+def samples(spark: SparkSession, sf_dir: str, per_task: int | None) -> DataFrame:
     """Events of a user as the samples of a task, numbered by time."""
     e = table(spark, sf_dir, "events")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")

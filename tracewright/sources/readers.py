@@ -111,8 +111,11 @@ def parse_gpu_line(lines: DataFrame) -> DataFrame:
     return lines.select(F.from_csv("value", F.lit("used double, total double, utilisation double"), {"ignoreLeadingWhiteSpace": "true"}).alias("g")).select("g.*")
 
 
-def ragged_slices(spark: SparkSession, index: DataFrame, arrays: DataFrame) -> DataFrame:
-    """Rows of a ragged store: ``index(offset, num_tokens)`` cut from ``arrays(ids array, offset)`` blocks."""
-    a = arrays.select(F.col("offset").alias("block_offset"), "ids", F.size("ids").alias("block_size"))
-    meets = (F.col("offset") >= F.col("block_offset")) & (F.col("offset") + F.col("num_tokens") <= F.col("block_offset") + F.col("block_size"))
-    return index.join(F.broadcast(a) if a.count() < 1000 else a, meets).withColumn("input_ids", F.slice("ids", F.col("offset") - F.col("block_offset") + 1, F.col("num_tokens"))).drop("ids", "block_offset", "block_size")
+def ragged_slices(index: DataFrame, arrays: DataFrame, per_block: int = 10_000) -> DataFrame:
+    """Rows of a ragged store: ``index(record_index, offset, num_tokens)`` cut from ``arrays(block, offset, ids)``.
+
+    Blocks hold ``per_block`` records each (see ``writers.concatenated``), so the join is by block number.
+    """
+    a = arrays.select("block", F.col("offset").alias("block_offset"), "ids")
+    at = index.withColumn("block", F.floor(F.col("record_index") / per_block))
+    return at.join(a, "block").withColumn("input_ids", F.slice("ids", (F.col("offset") - F.col("block_offset") + 1).cast("int"), F.col("num_tokens").cast("int"))).drop("ids", "block_offset", "block")

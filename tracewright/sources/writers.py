@@ -49,10 +49,10 @@ def write_manifest(summary: DataFrame, path: str) -> None:
 
 
 def concatenated(df: DataFrame, ids: str = "input_ids", per_block: int = 10_000) -> DataFrame:
-    """Concatenated id blocks of rows with ``offset`` and ``num_tokens``: offset, ids."""
+    """Concatenated id blocks of rows with ``record_index`` and ``offset``: block, offset, ids."""
     block = F.floor(F.col("record_index") / per_block)
     parts = df.groupBy(block.alias("block")).agg(F.min("offset").alias("offset"), F.array_sort(F.collect_list(F.struct("record_index", F.col(ids).alias("ids")))).alias("r"))
-    return parts.select("offset", F.flatten(F.transform("r", lambda x: x["ids"])).alias("ids"))
+    return parts.select("block", "offset", F.flatten(F.transform("r", lambda x: x["ids"])).alias("ids"))
 
 
 def file_manifest(df: DataFrame, root: str) -> DataFrame:
