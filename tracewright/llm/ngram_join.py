@@ -420,9 +420,9 @@ _DIGEST = ["n", "d1", "d2"]
 
 def _with_components(classes: DataFrame, nodes: DataFrame, joined: DataFrame) -> DataFrame:
     """Every class with its node, its component (null if it can't have a link) and the least member of that."""
-    placed = nodes.join(joined, "node", "left").select(*_DIGEST, "node", "rep", F.coalesce("component", "node").alias("component"))
+    placed, _ = materialize(nodes.join(joined, "node", "left").select(*_DIGEST, "node", "rep", F.coalesce("component", "node").alias("component")), "placed")
     least = placed.groupBy("component").agg(F.min("rep").alias("least"))
-    by_digest = placed.drop("rep").join(least, "component")
+    by_digest = lookup(placed.drop("rep"), least, ["component"])  # a component may have a third of all nodes
     # classes of one set in several batches have a node, so those without one stand for themselves
     return classes.join(by_digest, _DIGEST, "left").withColumn("least", F.coalesce("least", "rep"))
 
@@ -479,9 +479,8 @@ def jaccard_join(docs: DataFrame, num: int = 75, den: int = 100, block: int = ST
     """
     spark = docs.sparkSession
     classes, nodes, joined = _graph(docs, num, den)
-    inside = nodes.join(joined, "node")
-    blocks = inside.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    salted = inside.join(blocks, "component").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocks = joined.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    salted = nodes.join(lookup(joined, blocks, ["component"]), "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = salted.select("component", "node", "n", "ranks", "salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     cells = other.select("component", "node", "n", "ranks", "salt", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"))
     links, _ = materialize(cells.groupBy("component", "i", "j").applyInArrow(_pairs(num, den), "a long, b long, overlap long"), "class-links")
