@@ -290,6 +290,14 @@ def test_boilerplate_in_otherwise_different_texts(spark, few):
     assert rows(ngram_join.jaccard_components(frame(spark, out), few=few), "doc_id", "n_shingles", "component_id") == components(out)
 
 
+def test_a_component_of_very_many_sets(spark):
+    """More sets than ``lookup`` leaves to one task, beside texts that link with nothing."""
+    star = [f"s{k}" for k in range(80)]
+    out = [(i, " ".join(star[:40] + [f"v{i}"] + star[40:])) for i in range(1300)] + [(5000 + i, " ".join(f"o{i}-{k}" for k in range(9))) for i in range(5)]
+    got = {x.doc_id: x.component_id for x in ngram_join.jaccard_components(frame(spark, out)).collect()}
+    assert got == {i: 0 if i < 1300 else i for i, _ in out}
+
+
 def test_connected_components(spark):
     r = random.Random(1)
     edges = [(0, k) for k in range(1, 2500)] + [(k, k + 1) for k in range(3000, 3040)] + [(5000, 5000), (5001, 5002), (5002, 5001), (5001, 5002)]
