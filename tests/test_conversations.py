@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions.tokenizers import ByteTokenizer, render
@@ -89,6 +90,31 @@ def test_masks_agree_and_pass_the_audit():
     assert M.token_audit(ids, broken, tok) == ["partly_supervised"]
 
 
+class Spans:
+    """Tokens with given spans."""
+
+    def __init__(self, *edges):
+        self.spans = list(zip(edges, edges[1:]))
+
+    def encode(self, text):
+        return list(range(len(self.spans))), self.spans
+
+
+def test_tokens_at_the_edges_of_an_answer():
+    m = [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]
+    text, (_, (begin, end)) = render(m)
+    assert M.span_mask(m, Spans(0, begin, begin, end, end, len(text)))[1] == [M.MASKED, 1, 2, M.MASKED, M.MASKED]
+    for edges in ((0, begin + 1, end, len(text)), (0, begin, end + 1, len(text)), (0, len(text))):
+        with pytest.raises(M.MaskError, match="crosses"):
+            M.span_mask(m, Spans(*edges))
+
+
+def test_spans_of_bytes():
+    ids, spans = ByteTokenizer().encode("<|im_start|>aé€<|im_end|>\n")
+    assert spans == [(0, 12), (12, 13), (13, 14), (13, 14), (14, 15), (14, 15), (14, 15), (15, 25), (25, 26)]
+    assert ids == [0, *(b + 2 for b in "aé€".encode()), 1, 12] and ByteTokenizer().encode("") == ([], [])
+
+
 def test_windows_cover_each_answer_once():
     tok, m = ByteTokenizer(), talk(*[x for k in range(9) for x in (call("execute_bash", command="x" * (k * 7 % 40)), "ok" * k)], FINISH)
     train = {i for i, x in enumerate(m) if x["role"] == "assistant"}

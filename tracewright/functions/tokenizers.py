@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from typing import Protocol
 
 # The chat markup.
 START, END = "<|im_start|>", "<|im_end|>"
+_MARKERS = re.compile(f"({re.escape(START)}|{re.escape(END)})")
 
 
 class Tokenizer(Protocol):
@@ -20,17 +22,19 @@ class ByteTokenizer:
 
     def encode(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
         ids, spans, at = [], [], 0
-        while at < len(text):
-            marker = next((m for m in (START, END) if text.startswith(m, at)), None)
-            if marker:
-                ids.append((START, END).index(marker))
-                spans.append((at, at + len(marker)))
-                at += len(marker)
-                continue
-            for b in text[at].encode("utf-8", "surrogatepass"):
-                ids.append(b + 2)
-                spans.append((at, at + 1))
-            at += 1
+        for part in _MARKERS.split(text):
+            end = at + len(part)
+            if part in (START, END):
+                ids.append((START, END).index(part))
+                spans.append((at, end))
+            else:
+                raw = part.encode("utf-8", "surrogatepass")
+                ids += [b + 2 for b in raw]
+                if len(raw) == len(part):
+                    spans += zip(range(at, end), range(at + 1, end + 1))
+                else:
+                    spans += [(at + k, at + k + 1) for k, c in enumerate(part) for _ in c.encode("utf-8", "surrogatepass")]
+            at = end
         return ids, spans
 
     def decode(self, ids: list[int]) -> str:

@@ -10,6 +10,7 @@ import json
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,23 +26,30 @@ class MaskError(ValueError):
     pass
 
 
+def _span_mask(messages: list[dict], tokenizer: Tokenizer, trainable: set[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    text, contents = render(messages)
+    ids, spans = tokenizer.encode(text)
+    ids, at = np.array(ids, np.int32), np.array(spans, np.int64).reshape(-1, 2)
+    labels = np.full(len(ids), MASKED, np.int32)
+    for i, (m, (begin, end)) in enumerate(zip(messages, contents)):
+        if m["role"] != "assistant" or (trainable is not None and i not in trainable):
+            continue
+        first, stop = np.searchsorted(at[:, 0], [begin, end])  # tokens that start in the span
+        if first and at[first - 1, 1] > begin:
+            raise MaskError(f"a token crosses the edge of an answer at {at[first - 1, 0]}")
+        if stop > first and at[stop - 1, 1] > end:
+            raise MaskError(f"a token crosses the edge of an answer at {at[stop - 1, 0]}")
+        labels[first:stop] = ids[first:stop]
+    return ids, labels
+
+
 def span_mask(messages: list[dict], tokenizer: Tokenizer, trainable: set[int] | None = None) -> tuple[list[int], list[int]]:
     """Ids and labels: tokens inside a trainable assistant's content and end marker keep their id.
 
     A token across the edge of such a span is an error: no mask would be right for it.
     """
-    text, contents = render(messages)
-    ids, spans = tokenizer.encode(text)
-    train = [c for i, (m, c) in enumerate(zip(messages, contents)) if m["role"] == "assistant" and (trainable is None or i in trainable)]
-    labels, k = [], 0
-    for token, (a, b) in zip(ids, spans):
-        while k < len(train) and train[k][1] <= a:
-            k += 1
-        inside = k < len(train) and train[k][0] <= a and b <= train[k][1]
-        if k < len(train) and not inside and a < train[k][1] and b > train[k][0]:
-            raise MaskError(f"a token crosses the edge of an answer at {a}")
-        labels.append(token if inside else MASKED)
-    return ids, labels
+    ids, labels = _span_mask(messages, tokenizer, trainable)
+    return ids.tolist(), labels.tolist()
 
 
 def prefix_mask(messages: list[dict], tokenizer: Tokenizer, trainable: set[int] | None = None) -> tuple[list[int], list[int]]:
@@ -131,8 +139,8 @@ def window_records(conversations: DataFrame, tokenizer: Callable[[], Tokenizer]
                 try:
                     found = windows(messages, tok, most, overlap, good)
                     for k, (chosen, train) in enumerate(found):
-                        ids, labels = span_mask([messages[i] for i in chosen], tok, {chosen.index(i) for i in train})
-                        rows.append((tid, k, len(found), len(ids), sum(x != MASKED for x in labels), ids, [1] * len(ids), labels, None))
+                        ids, labels = _span_mask([messages[i] for i in chosen], tok, {at for at, i in enumerate(chosen) if i in train})
+                        rows.append((tid, k, len(found), len(ids), int((labels != MASKED).sum()), ids, np.ones(len(ids), np.int8), labels, None))
                 except MaskError as e:
                     rows.append((tid, 0, 0, 0, 0, [], [], [], str(e)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _WINDOW.split(", ")])
