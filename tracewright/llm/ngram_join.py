@@ -20,9 +20,11 @@ sets of five-word shingles. ``jaccard_components`` gives each document's compone
 5. *The rest.* Only pairs from different components that share a prefix shingle, and pass
    the size and remaining-length bounds at it, are still open; they are verified the same
    way. Pairs inside a component are never formed, so a group of thousands of near copies
-   costs its stars. Where a prefix shingle is in more than ``few`` such sets, pairs must
-   share another one soon after it as well (linked sets share two of prefixes one longer).
-   Components are then joined over all links.
+   costs its stars. The sets of a frequent prefix shingle are compared by their sizes and
+   remaining lengths in one task, or in pairs of blocks of ``few``. Only if few pairs are
+   left open do those become rows; else the sets themselves travel, and one tree walks them
+   all: each against the open sets of other components only, which are joined at the first
+   link, so what comes out is a forest. Components are then joined over all links.
 6. *All links* (``jaccard_join``). Both ends of a link are in one component, so the sets of
    a component are compared with each other, in pairs of blocks where it is large. Links
    are between classes of equal sets; the members of a class are linked by its class id.
@@ -62,6 +64,9 @@ from .components import connected_components
 _M1 = np.uint64(0x9E3779B97F4A7C15)
 _LOW56 = np.uint64((1 << 56) - 1)
 STAR = 500  # sets of a star that one task walks
+PAIRED = 32  # open sets of a prefix shingle that are paired by a join
+MANY = 8  # pairs for each set of a block from which on its sets travel instead
+BLOCK = 2_000_000  # shingles of a block of sets
 _MEMBER = np.dtype([("noid", "?"), ("id", "<i8"), ("kh", "<i8")])
 
 
@@ -251,19 +256,22 @@ class Trie:
         self.sets = sets
         self.order = sorted(range(len(sets)), key=lambda k: sets[k].astype(">u8").tobytes())
 
-    def overlaps(self, centre: np.ndarray, needed: list[int]) -> list[bool]:
+    def overlaps(self, centre: np.ndarray, needed: list[int], only: list[int] | None = None) -> list[bool]:
         """For each set, whether it shares ``needed`` ranks with ``centre``.
 
+        With ``only``, places in ``order``, the other sets are left out (and are False).
+
         Walks depth first: the counts along the path of the set before are kept for the
         prefix it shares with the next one. Where the count plus what the centre has left
         can't reach the least need of any set, the node's whole subtree is skipped; a
         single set is left where its own rest is too small.
         """
         out = [False] * len(self.sets)
-        least = min(needed, default=0)
+        order = self.order if only is None else [self.order[x] for x in only]
+        least = min((needed[k] for k in order), default=0)
         before, dead = np.zeros(0, np.uint64), None
         counts, rests = np.zeros(1, np.int64), np.array([len(centre)])  # after each rank of the path
-        for k in self.order:
+        for k in order:
             s = self.sets[k]
             m = min(len(s), len(before))
             differ = np.flatnonzero(s[:m] != before[:m])
@@ -317,32 +325,82 @@ def _links(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     return leaves.unionByName(hubs).groupBy("centre", "salt").applyInArrow(_verify(num, den), "a long, b long")
 
 
-def _second_prefixes(num: int, den: int):
-    """Pairs of a frequent prefix shingle and one behind it: two linked sets share two."""
+def _open_with(k: int, n: np.ndarray, rest: np.ndarray, label: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The sets behind the k-th, in order of size, that the bounds leave open with it."""
+    if rest[k] * (num + den) < 2 * num * n[k]:
+        return np.zeros(0, np.int64)  # too short a rest even for a set of its own size
+    own = slice(k + 1, int(np.searchsorted(n, n[k] * den // num, "right")))
+    need = -(-num * (n[k] + n[own]) // (num + den))
+    return k + 1 + np.flatnonzero((label[own] != label[k]) & (np.minimum(rest[k], rest[own]) >= need))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["token", "after", "node", "n", "rest", "component"]
-        for batch in batches:
-            for node, n, raw, component, hot in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "ranks", "component", "hot"))):
-                ranks = np.frombuffer(raw, "<u8")
-                size = min(len(ranks), n - _least(num, den, n) + 2 - (n - len(ranks)))
-                for token in hot:
-                    at = int(np.searchsorted(ranks, np.array([token], np.int64).view(np.uint64)[0]))
-                    after = ranks[at + 1 : size].view(np.int64)
-                    rest = 1 + len(ranks) - np.arange(at + 1, at + 1 + len(after))
-                    same = [pa.array(np.full(len(after), x)) for x in (token, node, n, component)]
-                    yield pa.RecordBatch.from_arrays([same[0], pa.array(after), same[1], same[2], pa.array(rest), same[3]], names=names)
+
+_CELL = "token long, i int, j int"
+_OPEN = f"{_CELL}, node long, salt int, rest long, component long, other long"
+
+
+def _compare(num: int, den: int):
+    """A cell of a frequent shingle's open sets -> its open pairs (``node``, ``other``), or if they are many its sets."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("n", "ascending"), ("node", "ascending")])
+        node, n, rest, component, salt = (group.column(c).to_numpy() for c in ("node", "n", "rest", "component", "salt"))
+        across = group.column("i")[0].as_py() != group.column("j")[0].as_py()
+        met, pairs, many = np.zeros(len(node), bool), [], 0
+        for k in range(len(node)):
+            at = _open_with(k, n, rest, component, num, den)
+            at = at[salt[at] != salt[k]] if across else at
+            if len(at):
+                met[k] = met[at] = True
+                many += len(at)
+                if many <= MANY * len(node):
+                    pairs.append((np.full(len(at), k), at))
+        if many > MANY * len(node):
+            out = group.filter(pa.array(met))
+            return out.drop_columns(["n"]).append_column("other", pa.nulls(len(out), pa.int64())).select([x.split()[0] for x in _OPEN.split(", ")])
+        x, y = (np.concatenate([np.zeros(0, np.int64), *c]) for c in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
+        x, y = np.where(component[x] < component[y], x, y), np.where(component[x] < component[y], y, x)
+        out = group.take(pa.array(x))
+        return out.drop_columns(["n"]).append_column("other", pa.array(node[y], pa.int64())).select([x.split()[0] for x in _OPEN.split(", ")])
+
+    return run
+
+
+def _forest(num: int, den: int):
+    """A cell's sets -> links that join the components it joins, one for each two that meet."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("n", "ascending"), ("node", "ascending")])
+        node, n, rest, component, salt = (group.column(c).to_numpy() for c in ("node", "n", "rest", "component", "salt"))
+        across = group.column("i")[0].as_py() != group.column("j")[0].as_py()
+        trie = Trie([np.frombuffer(raw, "<u8") for raw in group.column("ranks").to_pylist()])
+        place = np.empty(len(node), np.int64)
+        place[trie.order] = np.arange(len(node))
+        label = np.unique(component, return_inverse=True)[1]
+        found: list[tuple[int, int]] = []
+        for k in range(len(node)):
+            at = _open_with(k, n, rest, label, num, den)
+            at = at[salt[at] != salt[k]] if across else at
+            needed = -(-num * (n + n[k]) // (num + den))
+            at = at[np.argsort(place[at])]
+            while len(at):
+                linked = np.array(trie.overlaps(trie.sets[k], needed, place[at[:64]].tolist()))
+                for x in np.flatnonzero(linked):
+                    if label[x] != label[k]:
+                        found.append((int(node[k]), int(node[x])))
+                        label[label == label[x]] = label[k]
+                at = at[64:]
+                at = at[label[at] != label[k]]
+        return pa.table([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def _across(open_: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
-    """Pairs of one key's sets in different components that the bounds leave open."""
+def _across(open_: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of one shingle's sets in different components that the bounds leave open."""
     left, right = open_.alias("x"), open_.alias("y")
     need = F.ceil(num * (F.col("x.n") + F.col("y.n")) / (num + den))
-    same = functools.reduce(lambda a, b: a & b, [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys])
     return (
-        left.join(right, same & (F.col("x.component") < F.col("y.component")))
+        left.join(right, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")))
         .where((F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num) & (F.least("x.rest", "y.rest") >= need))
         .select(F.col("x.node").alias("centre"), F.col("y.node").alias("node"))
         .distinct()
@@ -399,17 +457,23 @@ def _graph(docs: DataFrame, num: int, den: int, few: int = 1000) -> tuple[DataFr
     labels = connected_components(first)
     labelled = prefixes.join(labels, "node", "left").select("token", "node", "n", "rest", F.coalesce("component", "node").alias("component"))
     labelled, labelled_path = materialize(labelled, "labelled")
-    several = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("token", "size")
+    blocks = F.greatest(F.ceil(F.count("*") / few), F.ceil(F.sum("n") / BLOCK)).cast("int")
+    several = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), blocks.alias("blocks")).where("lo < hi").select("token", "size", "blocks")
     open_, open_path = materialize(lookup(labelled, several, ["token"]), "open")
-    pairs = _across(open_.where(F.col("size") <= few), ["token"], num, den)
-    if open_.where(F.col("size") > few).take(1):
-        hot = open_.where(F.col("size") > few).groupBy("node", "component").agg(F.collect_set("token").alias("hot"))
-        seconds = sets.join(hot, "node").select("node", "n", "ranks", "component", "hot")
-        seconds, _ = materialize(seconds.mapInArrow(_second_prefixes(num, den), "token long, after long, node long, n long, rest long, component long"), "second-prefixes")
-        pairs = pairs.unionByName(_across(seconds, ["token", "after"], num, den)).distinct()
+    pairs = _across(open_.where(F.col("size") <= min(few, PAIRED)), num, den)
+    frequent = open_.where(F.col("size") > min(few, PAIRED)).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    links = [first]
+    if frequent.take(1):
+        cells = frequent.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        cells = cells.select("token", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "node", "salt", "n", "rest", "component")
+        compared, _ = materialize(cells.groupBy("token", "i", "j").applyInArrow(_compare(num, den), _OPEN), "compared")
+        pairs = pairs.unionByName(compared.where("other is not null").select(F.col("node").alias("centre"), F.col("other").alias("node"))).distinct()
+        dense = compared.where("other is null").drop("other")
+        if dense.take(1):
+            links.append(dense.join(sets, "node").groupBy("token", "i", "j").applyInArrow(_forest(num, den), "a long, b long"))
     pairs, pair_path = materialize(pairs, "pairs")
-    second = _links(pairs, sets, num, den)
-    found, found_path = materialize(first.unionByName(second), "links")
+    links.append(_links(pairs, sets, num, den))
+    found, found_path = materialize(functools.reduce(DataFrame.unionByName, links), "links")
     joined = connected_components(found)
     release(spark, prefix_path, star_path, first_path, labelled_path, open_path, pair_path, found_path)
     return classes, nodes, joined
