@@ -290,6 +290,18 @@ def test_boilerplate_in_otherwise_different_texts(spark, few):
     assert rows(ngram_join.jaccard_components(frame(spark, out), few=few), "doc_id", "n_shingles", "component_id") == components(out)
 
 
+@pytest.mark.parametrize("sizes", [[100] * 12, [100] * 3 + [300 + 200 * k for k in range(9)]])
+def test_a_cell_makes_no_more_rows_than_it_has_sets(sizes):
+    """Twelve open sets have 66 pairs; few open pairs stay pairs."""
+    n = len(sizes)
+    columns = {"token": [1] * n, "i": [0] * n, "j": [0] * n, "node": list(range(n)), "salt": [0] * n, "n": sizes, "rest": sizes, "component": list(range(n))}
+    out = ngram_join._compare(75, 100)(pa.table({k: pa.array(v, pa.int32() if k in "ij" else pa.int64()) for k, v in columns.items()}))
+    open_ = {(a, b) for b in range(n) for a in range(b) if 4 * sizes[a] >= 3 * sizes[b]}
+    met = {x for pair in open_ for x in pair}
+    assert out.num_rows == min(len(met), len(open_)) <= n
+    assert set(out.column("node").to_pylist()) <= met and (len(open_) <= len(met)) == (out.column("other").null_count == 0)
+
+
 def test_a_component_of_very_many_sets(spark):
     """More sets than ``lookup`` leaves to one task, beside texts that link with nothing."""
     star = [f"s{k}" for k in range(80)]

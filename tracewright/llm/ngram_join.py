@@ -21,9 +21,9 @@ sets of five-word shingles. ``jaccard_components`` gives each document's compone
    the size and remaining-length bounds at it, are still open; they are verified the same
    way. Pairs inside a component are never formed, so a group of thousands of near copies
    costs its stars. The sets of a frequent prefix shingle are compared by their sizes and
-   remaining lengths in one task, or in pairs of blocks of ``few``. Only if few pairs are
-   left open do those become rows; else the sets themselves travel, and one tree walks them
-   all: each against the open sets of other components only, which are joined at the first
+   remaining lengths in one task, or in pairs of blocks of ``few``. Only if fewer pairs
+   than sets are left open do those become rows; else the sets themselves travel, and one
+   tree walks them all: each against the open sets of other components only, which are joined at the first
    link, so what comes out is a forest. Components are then joined over all links.
 6. *All links* (``jaccard_join``). Both ends of a link are in one component, so the sets of
    a component are compared with each other, in pairs of blocks where it is large. Links
@@ -65,7 +65,6 @@ _M1 = np.uint64(0x9E3779B97F4A7C15)
 _LOW56 = np.uint64((1 << 56) - 1)
 STAR = 500  # sets of a star that one task walks
 PAIRED = 32  # open sets of a prefix shingle that are paired by a join
-MANY = 8  # pairs for each set of a block from which on its sets travel instead
 BLOCK = 2_000_000  # shingles of a block of sets
 _MEMBER = np.dtype([("noid", "?"), ("id", "<i8"), ("kh", "<i8")])
 
@@ -319,9 +318,10 @@ def _links(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     ``pairs`` is a written table.
     """
     sizes = pairs.groupBy("centre").agg(F.count("*").alias("size"))
-    salted = lookup(pairs, sizes, ["centre"]).select("centre", "node", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / STAR)).alias("salt"))
+    salts = F.ceil(F.col("size") / STAR)
+    salted = lookup(pairs, sizes, ["centre"]).select("centre", "node", F.pmod(F.xxhash64("node"), salts).alias("salt"))
     leaves = salted.join(nodes, "node").select("centre", "salt", "node", "n", "ranks", F.lit(True).alias("leaf"))
-    hubs = salted.select("centre", "salt").distinct().join(nodes.withColumnRenamed("node", "centre"), "centre").select("centre", "salt", F.col("centre").alias("node"), "n", "ranks", F.lit(False).alias("leaf"))
+    hubs = sizes.select("centre", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt")).join(nodes.withColumnRenamed("node", "centre"), "centre").select("centre", "salt", F.col("centre").alias("node"), "n", "ranks", F.lit(False).alias("leaf"))
     return leaves.unionByName(hubs).groupBy("centre", "salt").applyInArrow(_verify(num, den), "a long, b long")
 
 
@@ -339,7 +339,10 @@ _OPEN = f"{_CELL}, node long, salt int, rest long, component long, other long"
 
 
 def _compare(num: int, den: int):
-    """A cell of a frequent shingle's open sets -> its open pairs (``node``, ``other``), or if they are many its sets."""
+    """A cell of a frequent shingle's open sets -> its open pairs (``node``, ``other``), or the sets that have one if these are fewer.
+
+    So a cell never makes more rows than it has sets.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("n", "ascending"), ("node", "ascending")])
@@ -352,9 +355,9 @@ def _compare(num: int, den: int):
             if len(at):
                 met[k] = met[at] = True
                 many += len(at)
-                if many <= MANY * len(node):
+                if many <= len(node):
                     pairs.append((np.full(len(at), k), at))
-        if many > MANY * len(node):
+        if many > met.sum():
             out = group.filter(pa.array(met))
             return out.drop_columns(["n"]).append_column("other", pa.nulls(len(out), pa.int64())).select([x.split()[0] for x in _OPEN.split(", ")])
         x, y = (np.concatenate([np.zeros(0, np.int64), *c]) for c in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
