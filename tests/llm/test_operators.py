@@ -290,7 +290,7 @@ def test_boilerplate_in_otherwise_different_texts(spark, few):
     assert rows(ngram_join.jaccard_components(frame(spark, out), few=few), "doc_id", "n_shingles", "component_id") == components(out)
 
 
-@pytest.mark.parametrize("sizes", [[100] * 12, [100] * 3 + [300 + 200 * k for k in range(9)]])
+@pytest.mark.parametrize("sizes", [[100] * 12, [100] * 3 + [300 + 200 * k for k in range(9)], [100] * 2 + [200 * 2**k for k in range(10)]])
 def test_a_cell_makes_no_more_rows_than_it_has_sets(sizes):
     """Twelve open sets have 66 pairs; few open pairs stay pairs."""
     n = len(sizes)
